@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, simhash
+from . import bpe, jpeg, secrets, simhash, warc
 from .common import read
 
 
@@ -16,11 +16,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -29,7 +37,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op5_progressive_jpeg": op5_progressive_jpeg,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
     }
 
