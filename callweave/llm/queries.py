@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, secrets, simhash, warc
+from . import bpe, jpeg, langid, pii, secrets, simhash, warc
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,6 +29,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -37,8 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_language_id": op3_language_id,
         "op5_progressive_jpeg": op5_progressive_jpeg,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_pii": op7_pii,
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
     }
