@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid, pii, secrets, simhash, warc
+from . import bpe, decontam, jpeg, langid, pii, secrets, simhash, warc
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_language_id": op3_language_id,
+        "op4_decontamination": op4_decontamination,
         "op5_progressive_jpeg": op5_progressive_jpeg,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_pii": op7_pii,
@@ -55,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontam.oracle_sql()}
