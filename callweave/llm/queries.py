@@ -50,6 +50,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
+        "pipeline": pipeline,
     }
 
 
