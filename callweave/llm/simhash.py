@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, small_enough
 from .graph import connected_components
 
 #: Distinct fingerprints under a key from which stars replace pairs.
@@ -106,6 +106,19 @@ def _spots(t: Column, fp: Column) -> Column:
     return F.transform(out, lambda flip: flip.bitwiseXOR(fp))
 
 
+def _grouped(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """id, text_hash, fp, component_id and the winner of its group, for each row of df."""
+    rows = df.select(F.col(id_column), F.xxhash64(column).alias("text_hash"), F.col(column).alias("_text"))
+    rows = materialise(fingerprints(rows, "_text"), "fingerprints")
+    rank = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("text_hash").alias("hash"))
+    nodes = materialise(rows.groupBy("fp").agg(F.min(rank).alias("winner")), "nodes")
+    roots = connected_components(links(nodes.select("fp")))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "winner", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("winner").alias("winner"))
+    found = named.select("fp", "root").join(least, "root").select("fp", "winner")
+    return rows.join(found, "fp").withColumn("component_id", F.col("winner.id"))
+
+
 def groups(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """id, fp long and component_id of each row of df: the smallest id in reach.
 
@@ -113,12 +126,7 @@ def groups(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> Da
     words have fingerprint zero and are grouped like any other. Null ids are ignored
     where another id is in reach, else component_id is null. Repeated rows stay.
     """
-    rows = materialise(fingerprints(df.select(F.col(id_column), F.col(column).alias("_text")), "_text"), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(id_column).alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(id_column, "fp", "component_id")
+    return _grouped(df, id_column, column).select(id_column, "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
@@ -126,15 +134,15 @@ def hex64(fp: Column) -> Column:
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their group.
+    """The rows of df without those that another document of their group stands for.
 
-    In a group without any id, and for rows without an id, nothing tells which row to
-    keep, so rows of null id stay only where their group has no id at all; rows that
-    repeat an id stay together.
+    The document of the smallest id stays; ids that are null come after all others, and
+    among equal ids the text of the smallest hash stays. Rows that repeat both id and
+    text are one document and stay together. What goes is the smaller side by far, so it
+    is what the texts are joined with: broadcast where its size allows, else by a shuffle.
     """
-    found = groups(df, id_column, column)
-    stay = found.where(F.col("component_id").isNull() | (F.col(id_column) == F.col("component_id"))).select(F.col(id_column).alias("_stay")).distinct()
-    stay = materialise(stay, "stay")
-    return df.join(stay, df[id_column].eqNullSafe(stay._stay), "left_semi")
-
-
+    found = _grouped(df, id_column, column)
+    stays = F.col(id_column).eqNullSafe(F.col("winner.id")) & (F.col("text_hash") == F.col("winner.hash"))
+    gone = materialise(found.where(~stays).select(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "copies")
+    gone = F.broadcast(gone) if small_enough(gone) else gone
+    return df.join(gone, df[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(df[column]) == F.col("_hash")), "left_anti")
