@@ -54,8 +54,10 @@ def length_score(results: DataFrame) -> DataFrame:
 
     No row for fewer than three pairs; r is 0 where one side does not vary.
     """
-    pairs = results.where("overall_score > 0 and word_count > 0").agg(F.count("*").alias("n"), F.corr(F.col("word_count").cast("double"), F.col("overall_score").cast("double")).alias("r"))
-    r = F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0))
+    x, y = F.col("word_count").cast("double"), F.col("overall_score").cast("double")
+    spread = F.stddev_pop(x) * F.stddev_pop(y)  # corr() itself fails in ANSI mode where it is 0
+    pairs = results.where("overall_score > 0 and word_count > 0").agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), spread).alias("r"))
+    r = F.coalesce("r", F.lit(0.0))
     size = F.abs(r)
     return pairs.where("n >= 3").select("n", r.alias("r"), (r * r).alias("r2"), F.when(size < 0.3, "weak").when(size < 0.7, "moderate").otherwise("strong").alias("strength"))
 

@@ -39,7 +39,10 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Audio files of a folder, by name: name, path, size, size_mb. Contents are not read."""
+    """Audio files of a folder, by name: name, path, size, size_mb.
+
+    Contents are not read. Spark lists no empty files, so these never get further.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(AUDIO) + "}").load(folder)
     return listed.select(basename(F.col("path")).alias("name"), "path", F.col("length").alias("size"), megabytes(F.col("length")).alias("size_mb")).orderBy("name")
 
