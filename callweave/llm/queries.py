@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jpeg, langid, pii, secrets, simhash, warc
+from . import bpe, decontam, html, jpeg, langid, pii, secrets, simhash, suffixes, warc
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_repeated_passages": op2_repeated_passages,
         "op3_language_id": op3_language_id,
         "op4_decontamination": op4_decontamination,
         "op5_progressive_jpeg": op5_progressive_jpeg,
@@ -72,4 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.oracle_sql()}
+    return {
+        "op1_secret_scan": secrets.oracle_sql(),
+        "op2_repeated_passages": suffixes.oracle_sql(),
+        "op4_decontamination": decontam.oracle_sql(),
+        "op8_warc": warc.oracle_sql(),
+    }

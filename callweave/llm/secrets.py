@@ -136,3 +136,28 @@ def report(df: DataFrame, column: str = "text", keys: tuple[str, ...] = ("doc_id
     base = F.filter("_found", lambda s: ~s["weak"])
     counts = [F.size(F.filter(F.transform("_found", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select(*keys, *counts, F.sha2(_line(base).cast("binary"), 256).alias("base_sha256"), _line(F.col("_found")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """The same spans in SQL: splits for positions, and every pair of parts of a text."""
+    found = []
+    for rank, (name, part, pattern, _, group, least, most, _) in enumerate(STRONG + WEAK):
+        p = pattern.replace("'", "''")
+        size = f"length(regexp_extract(m, '{p}', {group}))" if group else "length(m)"
+        fits = f"{size} >= {least}" + (f" AND {size} <= {most}" if most else "")
+        found.append(f"""SELECT doc_id, s AS start, {rank} AS rank, s + length(m) AS stop, '{name}' AS kind, '{part}' AS part FROM (
+  SELECT doc_id, m, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+    SELECT doc_id, unnest(g[:len(m)]) AS g, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM (
+      SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m FROM d WHERE regexp_matches(t, '{p}')))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {fits}""")
+    n = len(STRONG)
+
+    def near(part: str) -> str:
+        return f"EXISTS (FROM f o WHERE o.doc_id = f.doc_id AND o.part = '{part}' AND abs(o.start - f.start) <= {SCOPE})"
+
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS ({" UNION ALL ".join(found)}),
+f AS (SELECT * FROM c WHERE rank < {n} OR NOT EXISTS (FROM c s WHERE s.doc_id = c.doc_id AND s.rank < {n} AND s.start < c.stop AND c.start < s.stop)),
+k AS (SELECT *, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM f WHERE rank < {n} OR CASE part WHEN 'id' THEN {near("secret")} WHEN 'secret' THEN {near("id")} ELSE {near("secret")} AND {near("id")} END)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {n}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
