@@ -177,6 +177,12 @@ def audio_error(content: Column, most: int = rules.MAX_FILE_BYTES) -> Column:
     return F.when(content.isNull(), "missing").when(n == 0, "empty").when(n > most, "too_large")
 
 
+def stt_status(seconds: Column, least: float = 5.0) -> Column:
+    """skipped_short for audio that is too short to be sent, else pending. A short file
+    still counts as a success and is billed by the estimate."""
+    return F.when(seconds < least, "skipped_short").otherwise("pending")
+
+
 def host(url: Column) -> Column:
     """Host of a URL in lower case, without user and port; null if there is none."""
     got = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))

@@ -60,3 +60,8 @@ def hit_rate(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = log.groupBy(*(by or [])).agg(F.coalesce(hits, F.lit(0)).alias("hits"), F.count("*").alias("lookups"))
     out = out.withColumn("misses", F.col("lookups") - F.col("hits"))
     return out.withColumn("hit_rate", exact_round(F.col("hits") / F.greatest(F.lit(1), F.col("lookups")) * 100, 1))
+
+
+def two_level_rate(log: DataFrame) -> DataFrame:
+    """Hit rate of a log with two levels (memory_hit, disk_hit boolean): either counts."""
+    return hit_rate(log.withColumn("hit", F.coalesce("memory_hit", F.lit(False)) | F.coalesce("disk_hit", F.lit(False))))

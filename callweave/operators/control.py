@@ -75,6 +75,14 @@ def backoff_schedule(attempts: int = 3, retry_after: float | None = None) -> lis
     return [float(retry_after) if retry_after else float(2 ** (n + 1)) for n in range(attempts)]
 
 
+def http_wait(status: int, attempt: int, retry_after: float | None = None, attempts: int = 3) -> float | None:
+    """Seconds until a request is sent again, or None if it is not: 429 as the server asks
+    or by the schedule, 5xx by the schedule, 401 and all else never."""
+    if attempt + 1 >= attempts or not (status == 429 or status >= 500):
+        return None
+    return backoff_schedule(attempts, retry_after if status == 429 else None)[attempt]
+
+
 def should_retry(outcome: Column) -> Column:
     """Whether an attempt at speech-to-text is repeated: not after lasting failures."""
     low = F.lower(F.coalesce(outcome, F.lit("")))

@@ -94,8 +94,31 @@ def top2_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAYINGS = ["Hello?", "thank you for calling Northwind, how can I help", "my name is Ann", "I need a flight", "this call is being recorded", "fine", "who is this", "yes", "ok then"]
 _LABELS = ["Speaker 0", "speaker 1", "Speaker 0", "Speaker 2"]
 
-
-@query("role_labelling")
+def _any(patterns: list[str]) -> str:
+    return "regexp_matches(content, '(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
+
+
+_INTRO = rules.AGENT_INTRO + [rules.AGENT_INTRO_COMPANY.replace("{names}", "northwind|the company")]
+_PICK = "arg_min({v}, line_no) FILTER (WHERE {c}) OVER (PARTITION BY call_id)"
+_ROLE_SQL = f"""WITH r AS (SELECT conv_id AS call_id, turn AS line_no, lower({base.pick_sql(_LABELS, "turn * 3 + conv_id")}) AS speaker, {base.pick_sql(_SAYINGS, "conv_id * 5 + turn * 7")} AS content FROM conversations),
+c AS (SELECT call_id, speaker, count(*) AS n, min(line_no) AS first FROM r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY n DESC, first) AS rank, count(*) OVER (PARTITION BY call_id) AS many FROM c),
+o AS (SELECT *, max(CASE WHEN first = (SELECT min(first) FROM c c2 WHERE c2.call_id = k.call_id) THEN rank END) OVER (PARTITION BY call_id) AS opening FROM k),
+j AS (SELECT r.*, many, CASE WHEN rank = 1 OR rank = greatest(2, opening) THEN speaker END AS major FROM r JOIN o USING (call_id, speaker)),
+l AS (SELECT *, last_value(major IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS last_major, first_value(major IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_major FROM j),
+m AS (SELECT *, CASE WHEN many <= 2 OR major IS NOT NULL THEN speaker ELSE coalesce(first_value(last_major) OVER (PARTITION BY call_id, speaker ORDER BY line_no), first_major) END AS effective,
+  regexp_matches(lower(content), '{"|".join(rules.ANNOUNCEMENTS)}') AS announced, {_any(_INTRO)} AS intro, {_any(rules.INBOUND_AGENT)} AS inbound, {_any(rules.AGENT_BEHAVIOUR)} AS behaves, {_any(rules.CLIENT)} AS client FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY line_no) AS n, sum(CASE WHEN announced THEN 0 ELSE 1 END) OVER (PARTITION BY call_id ORDER BY line_no) AS spoken FROM m),
+f AS (SELECT *, arg_min(speaker, line_no) OVER (PARTITION BY call_id) AS f1 FROM n),
+g AS (SELECT *, {_PICK.format(v="speaker", c="speaker <> f1")} AS f2, {_PICK.format(v="effective", c="n <= 20 AND NOT announced AND contains(lower(content), 'northwind') AND (behaves OR inbound)")} AS company,
+  coalesce({_PICK.format(v="effective", c="spoken <= 25 AND NOT announced AND intro")}, {_PICK.format(v="effective", c="spoken <= 25 AND NOT announced AND inbound")}) AS introduced, {_PICK.format(v="effective", c="n <= 25 AND client")} AS is_client FROM f),
+h AS (SELECT *, CASE WHEN is_client IS NOT NULL THEN CASE WHEN f1 <> is_client THEN f1 ELSE f2 END END AS other FROM g),
+i AS (SELECT *, CASE WHEN effective = coalesce(company, introduced, other, f2, f1) THEN 'Agent' ELSE 'Client' END AS role FROM h)
+SELECT call_id, line_no, role || ': ' || content AS line, CASE WHEN company IS NOT NULL THEN 'company' WHEN introduced IS NOT NULL THEN 'intro' WHEN other IS NOT NULL THEN 'client_content' ELSE 'direction' END AS method,
+  bool_or(role = 'Client' AND intro) OVER (PARTITION BY call_id) AS intro_on_client FROM i"""
+
+
+@query("role_labelling", _ROLE_SQL)
 def role_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = base.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("line_no"), F.concat(base.pick(_LABELS, F.col("turn") * 3 + F.col("conv_id")), F.lit(": "), base.pick(_SAYINGS, F.col("conv_id") * 5 + F.col("turn") * 7)).alias("line"))
     return roles.label_roles(c, companies=["Northwind"], company_patterns=["northwind"])

@@ -26,6 +26,28 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
+    """A spreadsheet file with one sheet per table, on the driver; needs openpyxl.
+
+    A sheet has at most `most` rows: a table with more raises an error and belongs into
+    write_sheet().
+    """
+    try:
+        from openpyxl import Workbook
+    except ImportError as e:
+        raise RuntimeError("spreadsheets need openpyxl; write_sheet() gives CSV") from e
+    book = Workbook(write_only=True)
+    for name, df in sheets.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        sheet = book.create_sheet(name)
+        sheet.append(df.columns)
+        for row in rows:
+            sheet.append(list(row))
+    book.save(path)
+
+
 def write_evaluations(df: DataFrame, path: str) -> None:
     """Evaluations as JSON lines, without what must not leave the engine."""
     exportable(df).write.mode("overwrite").json(path)

@@ -51,6 +51,12 @@ def test_provider_fallback(spark):
     assert control.backoff_schedule() == [2.0, 4.0, 8.0] and control.backoff_schedule(2, 7) == [7.0, 7.0]
 
 
+def test_http_wait():
+    assert [control.http_wait(429, n) for n in range(3)] == [2.0, 4.0, None]
+    assert control.http_wait(429, 0, 9) == 9.0 and control.http_wait(503, 1, 9) == 4.0
+    assert control.http_wait(401, 0) is None and control.http_wait(404, 0) is None
+
+
 # ---------------------------------------------------------------- words to lines
 
 

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import text
@@ -96,6 +97,25 @@ def test_cache(spark):
     assert cache.newest(entries, 0).count() == 2
 
 
+def test_two_level_cache_rate(spark):
+    log = spark.createDataFrame([(True, None), (False, True), (False, False)], "memory_hit boolean, disk_hit boolean")
+    r = cache.two_level_rate(log).first()
+    assert (r.hits, r.misses, r.hit_rate) == (2, 1, 66.7)
+
+
+def test_workbook_needs_its_library(spark, tmp_path):
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            writers.write_workbook({"a": spark.range(1)}, str(tmp_path / "a.xlsx"))
+
+
+def test_short_audio(spark):
+    df = spark.createDataFrame([(4.9,), (5.0,), (None,)], "s double")
+    assert [r[0] for r in df.select(text.stt_status(F.col("s"))).collect()] == ["skipped_short", "pending", "pending"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i in range(2):
         with (tmp_path / f"{i}.json").open("w") as f:
