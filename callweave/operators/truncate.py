@@ -18,7 +18,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _prefix(costs: Column, budget: int) -> Column:
+def lines_within(costs: Column, budget: int) -> Column:
     """How many lines fit before the first that does not."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
@@ -72,7 +72,7 @@ def truncate(df: DataFrame, max_tokens: int, column: str = "transcript") -> Data
     out = df.withColumn("_tokens", token_estimate(text)).withColumn("_lines", F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), token_estimate(x).alias("cost"))))
     over = F.col("_tokens") > max_tokens
     costs = F.transform("_lines", lambda x: x["cost"])
-    out = out.withColumn("_total", F.size("_lines")).withColumn("_head", F.when(over, _prefix(costs, first)).otherwise(0)).withColumn("_tail", F.when(over, _prefix(F.reverse(costs), last)).otherwise(0))
+    out = out.withColumn("_total", F.size("_lines")).withColumn("_head", F.when(over, lines_within(costs, first)).otherwise(0)).withColumn("_tail", F.when(over, lines_within(F.reverse(costs), last)).otherwise(0))
     between = F.greatest(F.lit(0), F.col("_total") - F.col("_tail") - F.col("_head"))
     out = out.withColumn("_gap", F.when(over, F.slice("_lines", F.col("_head") + 1, between)))
     out = out.withColumn("_kept", F.when(over, _let(F.col("_gap"), lambda gap: _middle(gap, middle))))

@@ -67,6 +67,20 @@ def truncate_middle_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "cut.*")
 
 
+_COST = r"CAST(floor(len(regexp_extract_all(x, '\S+')) * 1.8::DOUBLE) AS INT)"
+
+
+@query(
+    "truncate_start_end",
+    f"""WITH l AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[.,] ', chr(10), 'g'), chr(10)) AS t FROM documents)),
+s AS (SELECT doc_id, sum({_COST}) OVER (PARTITION BY doc_id ORDER BY i) AS up, sum({_COST}) OVER (PARTITION BY doc_id ORDER BY i DESC) AS down FROM l)
+SELECT doc_id, count(*) FILTER (WHERE up <= 174) AS head_lines, count(*) FILTER (WHERE down <= 176) AS tail_lines FROM s GROUP BY doc_id""",
+)
+def truncate_start_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = F.transform(F.split(F.regexp_replace("text", r"[.,] ", "\n"), "\n"), text.token_estimate)
+    return _docs(spark, sf_dir).select("doc_id", truncate.lines_within(costs, 174).cast("long").alias("head_lines"), truncate.lines_within(F.reverse(costs), 176).cast("long").alias("tail_lines"))
+
+
 _SAID = ["good morning", "It's me again, hello", "we spoke yesterday about it", "nothing new", "As promised, the offer"]
 _STATUS = ["new", "Follow-up needed", None, "closed", "callback set", "", "open"]
 _RESULT = ["answered", "Callback", None, "voicemail", "followup", "lost", "won", "none", "busy", "no answer", "x"]
