@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.gettempdir()}/checkpoints/callweave"
+        own = f"{tempfile.gettempdir()}/checkpoints/callweave-{uuid.uuid4().hex}"
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return at.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/callweave-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results read from them end too."""
+    _delete(spark, run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again; this cuts its lineage.
 
     Lost executors then cost nothing: the files outlive them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._callweave_path = path
@@ -46,13 +66,15 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_callweave_path", None)
         if path:
-            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(table.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; a smaller setting stays."""
+    """Keep Arrow batches small enough for long texts; a smaller setting stays.
+
+    Workers also learn where this package is, in case the driver runs in another folder.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, discard, materialise, shared_dir, small_enough
+from .common import bounded_batches, discard, materialise, run_dir, small_enough
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are always written in full.
@@ -254,7 +254,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
     return read_archive(spark, path)
 
