@@ -178,6 +178,7 @@ def passages(df: DataFrame, id_column: str = "doc_id", column: str = "text", lea
     found = materialise(repeated(tried.where("key is not null")).distinct(), "repeated")
 
     firsts = found.select("key", "id").distinct().join(texts.select("id", "least"), "id").groupBy("key").agg(F.min("least").alias("first"))
+    firsts = materialise(firsts, "firsts")  # as a table of its own, the join below can split a hot key
     starts = found.join(firsts, "key").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "first"))).alias("starts"))
     span = "array<struct<start:int,end:int,first:bigint>>"
 
