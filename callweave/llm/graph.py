@@ -33,8 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _star(both: DataFrame, large: bool) -> DataFrame:
     """large: both has each link both ways; greater neighbours go to a node's minimum.
     Else both has links (greater, less); lesser neighbours and the node itself do."""
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least, "a")
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+    joined = both.join(least, "a")  # with a table, so that it can be split at a hub
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))

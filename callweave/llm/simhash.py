@@ -84,7 +84,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(_mask(k)))) for k in _KEYS])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(keyed.join(sizes, ["t", "key"]), "blocks")
+    shared = materialise(keyed.join(materialise(sizes, "sizes"), ["t", "key"]), "blocks")  # from a table, the join can split a hot key
     few = shared.where(F.col("n") <= PAIRS_UP_TO).select("t", "key", "fp")
     other = few.select("t", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= BITS
