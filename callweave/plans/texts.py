@@ -126,9 +126,9 @@ def cache_key_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.llm_cache_key(F.col("text"), F.lit("First Call"), F.col("doc_id") % 40, "model-x", part("lang"), part("source")).alias("key"))
 
 
-@query("stt_key_sha256", "SELECT doc_id, sha256(text || '|scribe|True|2|None') AS key FROM documents")
+@query("stt_key_sha256", "SELECT doc_id, sha256(text || '|stt-x|True|2|None') AS key FROM documents")
 def stt_key_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.stt_cache_key(F.col("text").cast("binary"), "scribe", True, 2, None).alias("key"))
+    return _docs(spark, sf_dir).select("doc_id", text.stt_cache_key(F.col("text").cast("binary"), "stt-x", True, 2, None).alias("key"))
 
 
 @query("prompt_render", "SELECT doc_id, 'Call type: First Call' || chr(10) || 'Lines: {lines} {' || replace(replace(substring(text, 1, 80) || '{x}', '{', '{{'), '}', '}}') || '} n=' || (doc_id % 9) AS prompt FROM documents")
