@@ -10,14 +10,15 @@ the whole fingerprints are close, and decided on the true similarity of their fi
 links of the short fingerprints (simhash.links) are added to them.
 
 A group of many near copies has far more pairs than links are needed. So the texts of a
-block are compared with the block's hub first; only texts that are still apart after that
-are compared with each other. Groups are what counts, and a pair that is passed over is
-in one group already.
+block are compared with the block's hub first. Blocks whose texts are all in one group
+after that are settled; the others go through further rounds, in which a text that has
+met all others of its block leaves it, until no block is open (settled()).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Differing bits of long fingerprints up to which a pair is looked at: five standard
 #: deviations above what the least similarity gives if single words differ.
 NEAR_BITS = 162
-#: Texts in a block up to which those that are still apart are compared with each other.
+#: Texts in a block up to which those that are still apart are compared with each other at once.
 PAIRS_UP_TO = 8
 
 _LANES = BLOCKS * BLOCK_BITS // 64
@@ -102,21 +103,46 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return other.select(F.least("text_hash", "hub").alias("a"), F.greatest("text_hash", "hub").alias("b")).distinct()
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts of a block that roots (node, root) has not brought together.
+def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, n, text_hash, root) of the blocks that roots (node, root) has not brought into one group."""
+    own = shared.join(roots.select(F.col("node").alias("text_hash"), "root"), "text_hash", "left").select("key", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+    own = materialise(own, "own")
+    apart = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
+    return materialise(own.join(materialise(apart, "apart"), "key").select("key", "n", "text_hash", "root"), "open")
 
-    In a block of up to PAIRS_UP_TO texts all such pairs; in a larger one each text with
-    one that is drawn by hash for the block.
+
+def drawn_hubs(many: DataFrame, turn: int) -> DataFrame:
+    """(key, hub, root_b): up to 4 ** turn texts of each block, the least of each of so many slots."""
+    order = F.xxhash64("text_hash", F.lit(turn))
+    slots = many.groupBy("key", F.pmod(order, F.lit(4**turn)).alias("slot"))
+    return materialise(slots.agg(F.min_by("text_hash", order).alias("hub"), F.min_by("root", order).alias("root_b")).drop("slot"), "hubs")
+
+
+def settled(shared: DataFrame, roots: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """roots (node, root) after each two texts of a block are in one group or compared by linked.
+
+    Small blocks compare all that are apart. In a larger one all texts meet some hubs,
+    four times as many in each round, and the hubs leave the block. So a block of n texts
+    takes about log4(n) rounds, fewer if its texts come together before.
     """
-    own = shared.join(roots.select(F.col("node").alias("text_hash"), "root"), "text_hash", "left").select("key", "n", "text_hash", F.coalesce("root", "text_hash").alias("root"))
-    few = own.where(F.col("n") <= PAIRS_UP_TO).select("key", F.col("text_hash").alias("a"), "root")
-    other = few.select("key", F.col("a").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, "key").where("a < b and root <> root_b").select("a", "b")
-    many = own.where(F.col("n") > PAIRS_UP_TO)
-    draw = F.xxhash64("text_hash", "key")
-    drawn = many.groupBy("key").agg(F.max_by("text_hash", draw).alias("hub"), F.max_by("root", draw).alias("root_b"))
-    stars = many.join(drawn, "key").where("root <> root_b").select(F.least("text_hash", "hub").alias("a"), F.greatest("text_hash", "hub").alias("b"))
-    return pairs.union(stars).distinct()
+    for turn in count(1):
+        still = open_blocks(shared, roots)
+        few = still.where(F.col("n") <= PAIRS_UP_TO).select("key", F.col("text_hash").alias("a"), "root")
+        other = few.select("key", F.col("a").alias("b"), F.col("root").alias("root_b"))
+        pairs = few.join(other, "key").where("a < b and root <> root_b").select("a", "b")
+        many = still.where(F.col("n") > PAIRS_UP_TO)
+        hubs = drawn_hubs(many, turn)
+        stars = many.join(hubs, "key").where("root <> root_b").select(F.least("text_hash", "hub").alias("a"), F.greatest("text_hash", "hub").alias("b"))
+        pairs = materialise(pairs.union(stars).distinct(), "pairs")
+        if not pairs.isEmpty():
+            more = linked(pairs)
+            if not more.isEmpty():
+                roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        if hubs.isEmpty():
+            return roots
+        gone = hubs.select("key", F.col("hub").alias("text_hash"))
+        shared = many.select("key", "text_hash").join(gone, ["key", "text_hash"], "left_anti")
+    raise AssertionError
 
 
 def close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -163,12 +189,9 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text")
     short = short.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
     shared = shared_blocks(texts)
-    stars = verified(close(star_pairs(shared), texts), df, id_column, column, texts)
-    roots = connected_components(same.union(short).union(stars))
-    pairs = materialise(open_pairs(shared, roots), "pairs")
-    if not pairs.isEmpty():
-        more = verified(close(pairs, texts), df, id_column, column, texts)
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    linked = lambda pairs: verified(close(pairs, texts), df, id_column, column, texts)
+    roots = connected_components(same.union(short).union(linked(star_pairs(shared))))
+    roots = settled(shared.where("text_hash <> hub"), roots, linked)
     named = texts.join(roots, texts.text_hash == roots.node, "left").select("text_hash", "winner", F.coalesce("root", "text_hash").alias("root"))
     least = named.groupBy("root").agg(F.min("winner").alias("winner"))
     losing = named.select("text_hash", "root").join(least, "root").select("text_hash", "winner")

@@ -80,3 +80,13 @@ def test_odd_tables(spark):
     rows = [(None, "a b c"), (None, "a b c"), (None, "d e f"), (3, None), (2, ""), (5, "a b c"), (5, "a b c"), (7, "x" * 100_000)]
     got = nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in got) == [("2", ""), ("5", "a b c"), ("5", "a b c"), ("7", "xxxxx"), ("None", "d e f")]
+
+
+def test_large_blocks_are_settled(spark):
+    """Of 30 texts in a block only three pairs are alike; each is found, whatever the hubs are."""
+    alike = {(3, 17), (5, 29), (11, 12)}
+    shared = spark.createDataFrame([(1, t) for t in range(30)] + [(2, 3), (2, 5)], "key long, text_hash long")
+    links = spark.createDataFrame(sorted(alike), "a long, b long")
+    none = spark.createDataFrame([], "node long, root long")
+    roots = nearcopies.settled(shared, none, lambda pairs: pairs.join(links, ["a", "b"]))
+    assert {(r.root, r.node) for r in roots.collect() if r.root != r.node} == alike
