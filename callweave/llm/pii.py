@@ -57,7 +57,7 @@ def pattern_spans(text: str) -> list[Span]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x) <= 255 for x in (p.lstrip("0") or "0" for p in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")

@@ -37,6 +37,12 @@ LEAST_REVISIT = 100
 #: There is no date column; the field is compulsory.
 DATE = "1970-01-01T00:00:00Z"
 
+#: No record is longer than this, so that offsets in a file stay far below 2^63.
+FARTHEST = 1 << 60
+
+#: Bytes of a file in which pieces and records look for each other.
+STRETCH = 1 << 20
+
 _M = len(MAGIC)
 
 
@@ -94,8 +100,17 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
 
 
+def _number(digits: bytes) -> int | None:
+    """A number that a record of ours can hold; other digits, as payloads may have them, are none."""
+    return int(digits) if len(digits) <= 20 and -(1 << 63) <= int(digits) < 1 << 63 else None
+
+
 def _candidate(piece: bytes) -> dict:
-    """What a piece says of itself, if it starts like a record."""
+    """What a piece says of itself, if it starts like a record.
+
+    Payloads may imitate records: a header with a number that no record can hold, or a
+    length that leads beyond any file, is no candidate.
+    """
     head = piece.find(b"\r\n\r\n")
     if head < 0:
         return {}
@@ -103,10 +118,13 @@ def _candidate(piece: bytes) -> dict:
     got = {k: m[1] for k, p in _FIELDS.items() if (m := p.search(top))}
     if "length" not in got or "type" not in got:
         return {}
-    length, skip = int(got["length"]), head + 4
-    out = {"record_type": got["type"].decode().lower(), "page_id": int(got["id"]) if "id" in got else None, "refers_to": int(got["refers"]) if "refers" in got else None, "skip": skip, "length": length, "whole": True}
+    numbers = {k: _number(got[k]) for k in ("length", "id", "refers", "full") if k in got}
+    if None in numbers.values() or numbers["length"] > FARTHEST:
+        return {}
+    length, skip = numbers["length"], head + 4
+    out = {"record_type": got["type"].decode().lower(), "page_id": numbers.get("id"), "refers_to": numbers.get("refers"), "skip": skip, "length": length, "whole": True}
     if out["record_type"] == "revisit":
-        out |= {"payload_bytes": int(got.get("full", b"0")), "payload_digest": got.get("digest", b"").decode()}
+        out |= {"payload_bytes": numbers.get("full", 0), "payload_digest": got.get("digest", b"").decode()}
     elif skip + length + 4 <= len(piece):
         payload = piece[skip : skip + length]
         out |= {"payload_bytes": length, "payload_digest": hashlib.sha256(payload).hexdigest()}
@@ -203,14 +221,17 @@ def _assembled(spark: SparkSession, path: str, split: DataFrame, pieces: DataFra
     """(file, block, seq, digest) of records whose payload lies in more than one piece.
 
     A record's pieces are those from its own up to where its length ends; they are
-    found by position and brought together by record, which is one row's worth.
+    found by position, in stretches of the file that both sides name, and brought
+    together by record, which is one row's worth. Records do not overlap, so a piece has
+    one owner at most, and no task needs a whole file.
     """
     sizes = pieces.groupBy("file", "block").agg(F.sum("size").alias("total"))
     blocks = sizes.withColumn("base", F.sum("total").over(W.partitionBy("file").orderBy("block")) - F.col("total")).drop("total")
     placed = pieces.join(blocks, ["file", "block"]).select("file", "block", "seq", (F.col("at") + F.col("base")).alias("pos"))
     marks = split.join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("pos"), F.struct((F.col("next") + F.col("base")).alias("stop"), F.col("block").alias("b"), F.col("seq").alias("s"), "skip", "length").alias("rec"))
-    by = W.partitionBy("file").orderBy("pos")
-    owner = placed.join(marks, ["file", "pos"], "left").withColumn("rec", F.last("rec", True).over(by)).where("rec is not null and pos < rec.stop")
+    stretch = lambda at: F.floor(at / STRETCH)
+    spread = marks.select("file", F.col("pos").alias("from"), "rec", F.explode(F.sequence(stretch(F.col("pos")), stretch(F.col("rec.stop") - 1))).alias("stretch"))
+    owner = placed.withColumn("stretch", stretch(F.col("pos"))).join(materialise(spread, "spread"), ["file", "stretch"]).where("pos >= from and pos < rec.stop")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seq = None, 0
@@ -235,24 +256,34 @@ def _assembled(spark: SparkSession, path: str, split: DataFrame, pieces: DataFra
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record that the start of its file reaches.
 
-    page_id, payload_bytes, payload_digest (of the full payload, computed from the bytes
-    for responses and taken from the header for revisits), record_type, refers_to. What
-    follows a broken link of the chain is not returned; an empty folder gives no rows.
+    page_id, payload_bytes, payload_digest (of the full payload, computed from the bytes;
+    a revisit has those of the response that it refers to, and what its header says only
+    where that response is missing), record_type, refers_to. What follows a broken link of
+    the chain is not returned; an empty folder gives no rows, records that repeat stay.
     """
     pieces = materialise(_scan(spark, path).mapInArrow(_pieces, _PIECES), "pieces")
     entries = _entries(pieces)
     entered = pieces.where("next is not null").join(entries, ["file", "block"])
     records = materialise(entered.groupBy("file", "block").applyInPandas(_walk, _PIECES), "records")
-    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     split = records.where("not whole")
-    if split.isEmpty():
-        return records.select(*out)
-    whole = materialise(_assembled(spark, path, split, pieces), "assembled")
-    return records.join(whole, ["file", "block", "seq"], "left").withColumn("payload_digest", F.coalesce("digest", "payload_digest")).select(*out)
+    if not split.isEmpty():
+        whole = materialise(_assembled(spark, path, split, pieces), "assembled")
+        records = records.join(whole, ["file", "block", "seq"], "left").withColumn("payload_digest", F.coalesce("digest", "payload_digest"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    records = materialise(records.select(*out), "read")
+    full = records.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("own_digest"), F.col("payload_bytes").alias("own_bytes")).distinct()
+    again = records.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("own_digest")), "left")
+    again = again.withColumn("payload_bytes", F.coalesce("own_bytes", "payload_bytes")).withColumn("payload_digest", F.coalesce("own_digest", "payload_digest"))
+    return records.where("record_type <> 'revisit'").select(*out).unionAll(again.select(*out))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives in the shared folder and reads them back."""
+    """Writes pages as archives in the shared folder and reads them back.
+
+    Returns one row per row of pages, as read_archive() and write_archive() state: null
+    html is empty, rows that repeat stay, an empty table gives no rows, other columns of
+    pages are ignored.
+    """
     spark = pages.sparkSession
     path = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)

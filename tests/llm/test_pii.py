@@ -98,3 +98,10 @@ def test_report_and_mask(spark):
     assert out[4].text == "Dear Mr. <NAME>, hello"
     assert pii.mask(df.drop("n_chars")).columns == ["doc_id", "text", "spans"]
     assert pii.report(df.limit(0)).count() == 0
+
+
+def test_long_runs_of_digits():
+    assert pii.pattern_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert pii.pattern_spans("0" * 6000 + "." + "0" * 6000 + ".0.255") == [(0, 1, 12007)]
+    assert pii.pattern_spans("1.1.1." + "9" * 6000) == []
+    assert pii.pattern_spans("7" * 9000) == []
