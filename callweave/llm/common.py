@@ -11,9 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to a Python worker. Documents can be long, so
-#: Spark's default of 10,000 rows would make the batch size depend on the data.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch that goes to a Python worker. Documents can be long, so rows alone
+#: would make the size of a batch depend on the data.
+BATCH_BYTES = 4 << 20
 
 #: A side of at most so many bytes (as Spark counts a materialised row) may be broadcast.
 BROADCAST_BYTES = 24 << 20
@@ -22,10 +22,13 @@ BROADCAST_BYTES = 24 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) is a folder of our own taken.
+    Only where the setting is absent and Spark runs in this process (tests) is a folder of
+    our own taken; on a cluster no folder of one machine would do, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = f"{tempfile.gettempdir()}/checkpoints/callweave-{uuid.uuid4().hex}"
         at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
@@ -75,9 +78,9 @@ def bounded_batches(spark: SparkSession) -> None:
     Workers also learn where this package is, in case the driver runs in another folder.
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") in ("-1", str(64 << 20)):  # Spark's defaults
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def small_enough(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:

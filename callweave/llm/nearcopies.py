@@ -1,18 +1,25 @@
-"""Near copies by long SimHash fingerprints: five-word shingles, similarity 0.8 or more.
-
-At that similarity 64-bit fingerprints differ in ten bits and more, which no small set of
-whole blocks survives. So the fingerprint is made long, 48 blocks of 24 bits over the
-distinct two-word shingles of a text: a pair at the least similarity differs in a tenth
-of the bits if single words differ, and is found with probability 0.99. If its differences
-are one stretch it is a seventh, and pairs close to the least similarity are mostly not
-found. Unrelated texts share a block by chance only. Pairs that meet in a block are kept if
-the whole fingerprints are close, and decided on the true similarity of their five-word shingle sets. The exact
-links of the short fingerprints (simhash.links) are added to them.
+"""Near copies of texts: five-word shingle sets of similarity 0.8 or more, all of them.
+
+The SimHash blocks of simhash.py cannot find these: at similarity 0.8 a replaced stretch
+changes a seventh of the bits of a fingerprint, so whole blocks that survive it are so
+short that unrelated texts share them too. The pigeonhole is therefore applied to the
+shingle sets themselves, where it is exact.
+
+Two sets of a and b shingles, a <= b, with similarity 0.8 share need(b) = ceil(0.8 b) of
+them at least. In one order of all shingles (by hash) the first a - need(a) + slack(a) of
+the one and the first b - need(b) + slack(b) of the other then share slack(a) at least.
+These prefixes are a text's signature. A shingle of a signature that no other text has in
+its own joins nothing and goes. Of the others each text may ignore the hottest ones, as
+long as slack(a) of them cannot all be ignored: slack(need(a)) - 1. So a passage, a licence
+or a line that very many texts share makes no block of its own, unless it is most of a
+text. What is left are blocks of texts that share a rare shingle; every pair of similarity
+0.8 shares one, whatever its differences are. Pairs are decided on their whole sets.
 
 A group of many near copies has far more pairs than links are needed. So the texts of a
 block are compared with the block's hub first. Blocks whose texts are all in one group
 after that are settled; the others go through further rounds, in which a text that has
-met all others of its block leaves it, until no block is open (settled()).
+met all others of its block leaves it, until no block is open (settled()). The exact links
+of the short fingerprints (simhash.links) are added.
 """
 
 from __future__ import annotations
@@ -22,100 +29,125 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simhash
 from .common import bounded_batches, materialise, small_enough
 from .graph import connected_components
+from .suffixes import repeated, window_hashes, word_hashes
 
-BLOCKS, BLOCK_BITS = 48, 24
-WORDS, SIMILARITY = 5, 0.8
-#: Differing bits of long fingerprints up to which a pair is looked at: five standard
-#: deviations above what the least similarity gives if single words differ.
-NEAR_BITS = 162
+WORDS = 5
+#: Least similarity, as a fraction, so that no rounding decides.
+SIMILARITY = (4, 5)
+#: Signature shingles that two near copies share at least, where their sets are this large.
+SLACK = 32
 #: Texts in a block up to which those that are still apart are compared with each other at once.
 PAIRS_UP_TO = 8
 
-_LANES = BLOCKS * BLOCK_BITS // 64
 
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles of a text, without regard to A-Z's
+    case; of fewer words the whole sequence, of none an empty set."""
+    words = word_hashes(text)
+    return np.unique(window_hashes(words, min(WORDS, len(words)))) if len(words) else words
+
+
+def need(n: int) -> int:
+    """Shingles that a set of n shares at least with one that is no larger, if they are near copies."""
+    return -(-n * SIMILARITY[0] // SIMILARITY[1])
+
+
+def slack(n: int) -> int:
+    return min(need(n), max(SLACK, -(-n // 4)))
 
-def _shingles(words: list[bytes], n: int) -> set[bytes]:
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, as signed numbers."""
+    n = len(hashes)
+    return hashes[: n - need(n) + slack(n)].view(np.int64)
 
-def blocks(text: str | None) -> list[int] | None:
-    """Block values of the long fingerprint, each with the block's number above it."""
-    parts = _shingles((text or "").encode().lower().split(), 2)
-    if not parts:
-        return None
-    base = np.fromiter((xxhash.xxh64_intdigest(s) for s in parts), np.uint64, len(parts))
-    steps = np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros(BLOCKS * BLOCK_BITS, np.int64)
-    for at in range(0, len(base), 255):  # counts of up to 255 rows fit bytes, so eight are added at once
-        x = base[at : at + 255, None] + steps
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.view(np.uint8), axis=1)
-        ones += bits.view(np.uint64).sum(0, dtype=np.uint64).view(np.uint8)
-    packed = np.packbits(ones * 2 > len(base)).reshape(BLOCKS, 3).astype(np.int64)
-    return (np.arange(BLOCKS) << 24 | packed[:, 0] << 16 | packed[:, 1] << 8 | packed[:, 2]).tolist()
 
+def _ignored(n: Column) -> Column:
+    """How many of its signature's hottest shingles a set of n need not look at: slack(need(n)) - 1."""
+    need_of = lambda x: F.ceil(x * SIMILARITY[0] / SIMILARITY[1])
+    low = need_of(n)
+    return F.least(need_of(low), F.greatest(F.lit(SLACK), F.ceil(low / 4))) - 1
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """Hashes of the distinct five-word shingles of a text, without regard to A-Z's case."""
-    return [xxhash.xxh64_intdigest(s) - (1 << 63) for s in _shingles((text or "").encode().lower().split(), WORDS)]
 
+def signatures(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """id, text_hash, fp (SimHash), n and keys (set size and signature) of each row.
 
-def _mapped(df: DataFrame, fields: str, row) -> DataFrame:
-    """df's columns but the last, a text, and those that row(text) gives."""
+    fp, n and keys are null where the same task has met the text before, which keeps copies
+    from being worked out again and again.
+    """
     bounded_batches(df.sparkSession)
-    kept = df.columns[:-1]
-    names = [f.split()[0] for f in fields.split(", ")]
-    types = [{"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}[f.split()[1]] for f in fields.split(", ")]
+    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(column).alias("text_hash"), F.col(column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            made = [row(t) for t in batch.column(len(kept)).to_pylist()]
-            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *names])
+            prints, sizes, keys = [], [], []
+            for h, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if h in met:
+                    prints.append(None), sizes.append(None), keys.append(None)
+                    continue
+                met.add(h)
+                own = shingles(text)
+                prints.append(simhash.fingerprint(text)), sizes.append(len(own)), keys.append(signature(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "fp", "n", "keys"]
+            )
+
+    return rows.mapInArrow(run, f"id {df.schema[id_column].dataType.simpleString()}, text_hash long, fp long, n int, keys array<long>")
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), fields])
-    return df.mapInArrow(run, ddl)
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """(key, text_hash, n) of the blocks of rows (text_hash, n, keys): every pair of near copies meets in one."""
+    keyed = rows.where("keys is not null").select(F.explode("keys").alias("key"), F.col("text_hash").alias("id"), F.col("n").alias("pos"))
+    shared = materialise(repeated(keyed).distinct().select("key", F.col("id").alias("text_hash"), F.col("pos").alias("n")), "shared")
+    heat = materialise(shared.groupBy("key").agg(F.count("*").alias("heat")), "heat")
+    ranked = shared.join(heat, "key").withColumn("rank", F.row_number().over(W.partitionBy("text_hash").orderBy(F.desc("heat"), "key")))
+    return materialise(ranked.where(F.col("rank") > _ignored(F.col("n"))).select("key", "text_hash", "n"), "candidates")
 
-def shared_blocks(texts: DataFrame) -> DataFrame:
-    """(key, text_hash, n, hub) of the blocks that several texts (text_hash, keys) have.
+
+def blocks(found: DataFrame) -> DataFrame:
+    """(key, text_hash, n, hub, hub_n) of the blocks that several texts have.
 
     The hub of a block is its text that comes first in one order of all texts, so that the
     blocks of a group have few different hubs.
     """
-    keyed = texts.where("keys is not null").select("text_hash", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("text_hash", F.xxhash64("text_hash")).alias("hub")).where("n > 1")
-    return materialise(keyed.join(materialise(sizes, "sizes"), "key"), "shared")  # from a table, the join can split a hot key
+    order = F.xxhash64("text_hash")
+    heads = found.groupBy("key").agg(F.count("*").alias("many"), F.min_by(F.struct("text_hash", "n"), order).alias("head")).where("many > 1")
+    heads = materialise(heads.select("key", F.col("head.text_hash").alias("hub"), F.col("head.n").alias("hub_n")), "heads")
+    return materialise(found.join(heads, "key"), "blocks")  # from a table, the join can split a hot key
+
+
+def like(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be near copies at all."""
+    return F.least(n, m) * SIMILARITY[1] >= F.greatest(n, m) * SIMILARITY[0]
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each text of a block with its hub."""
-    other = shared.where("text_hash <> hub")
-    return other.select(F.least("text_hash", "hub").alias("a"), F.greatest("text_hash", "hub").alias("b")).distinct()
+    """(a, b): each text of a block with its hub, if their sizes allow it."""
+    return shared.where((F.col("text_hash") != F.col("hub")) & like("n", "hub_n")).select(F.col("text_hash").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, n, text_hash, root) of the blocks that roots (node, root) has not brought into one group."""
-    own = shared.join(roots.select(F.col("node").alias("text_hash"), "root"), "text_hash", "left").select("key", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+    """(key, many, text_hash, n, root) of the blocks that roots (node, root) has not brought into one group."""
+    own = shared.join(roots.select(F.col("node").alias("text_hash"), "root"), "text_hash", "left").select("key", "text_hash", "n", F.coalesce("root", "text_hash").alias("root"))
     own = materialise(own, "own")
-    apart = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
-    return materialise(own.join(materialise(apart, "apart"), "key").select("key", "n", "text_hash", "root"), "open")
+    apart = own.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "many")
+    return materialise(own.join(materialise(apart, "apart"), "key"), "open")
 
 
 def drawn_hubs(many: DataFrame, turn: int) -> DataFrame:
-    """(key, hub, root_b): up to 4 ** turn texts of each block, the least of each of so many slots."""
+    """(key, hub, hub_n, root_b): up to 4 ** turn texts of each block, the least of each of so many slots."""
     order = F.xxhash64("text_hash", F.lit(turn))
     slots = many.groupBy("key", F.pmod(order, F.lit(4**turn)).alias("slot"))
-    return materialise(slots.agg(F.min_by("text_hash", order).alias("hub"), F.min_by("root", order).alias("root_b")).drop("slot"), "hubs")
+    drawn = slots.agg(F.min_by(F.struct("text_hash", "n", "root"), order).alias("h"))
+    return materialise(drawn.select("key", F.col("h.text_hash").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("root_b")), "hubs")
 
 
 def settled(shared: DataFrame, roots: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -127,12 +159,12 @@ def settled(shared: DataFrame, roots: DataFrame, linked: Callable[[DataFrame], D
     """
     for turn in count(1):
         still = open_blocks(shared, roots)
-        few = still.where(F.col("n") <= PAIRS_UP_TO).select("key", F.col("text_hash").alias("a"), "root")
-        other = few.select("key", F.col("a").alias("b"), F.col("root").alias("root_b"))
-        pairs = few.join(other, "key").where("a < b and root <> root_b").select("a", "b")
-        many = still.where(F.col("n") > PAIRS_UP_TO)
+        few = still.where(F.col("many") <= PAIRS_UP_TO).select("key", F.col("text_hash").alias("a"), "n", "root")
+        other = few.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+        pairs = few.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & like("n", "m")).select("a", "b")
+        many = still.where(F.col("many") > PAIRS_UP_TO)
         hubs = drawn_hubs(many, turn)
-        stars = many.join(hubs, "key").where("root <> root_b").select(F.least("text_hash", "hub").alias("a"), F.greatest("text_hash", "hub").alias("b"))
+        stars = many.join(hubs, "key").where((F.col("root") != F.col("root_b")) & like("n", "hub_n")).select(F.col("text_hash").alias("a"), F.col("hub").alias("b"))
         pairs = materialise(pairs.union(stars).distinct(), "pairs")
         if not pairs.isEmpty():
             more = linked(pairs)
@@ -141,31 +173,37 @@ def settled(shared: DataFrame, roots: DataFrame, linked: Callable[[DataFrame], D
         if hubs.isEmpty():
             return roots
         gone = hubs.select("key", F.col("hub").alias("text_hash"))
-        shared = many.select("key", "text_hash").join(gone, ["key", "text_hash"], "left_anti")
+        shared = many.select("key", "text_hash", "n").join(gone, ["key", "text_hash"], "left_anti")
     raise AssertionError
 
 
-def close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose long fingerprints differ in at most NEAR_BITS bits."""
-    side = texts.select("text_hash", "keys")
-    both = pairs.join(side.select(F.col("text_hash").alias("a"), F.col("keys").alias("ka")), "a").join(side.select(F.col("text_hash").alias("b"), F.col("keys").alias("kb")), "b")
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return materialise(both.where(apart <= NEAR_BITS).select("a", "b"), "near")
+def sets_of(wanted: DataFrame, docs: DataFrame, id_column: str, column: str) -> DataFrame:
+    """(text_hash, shingles) of the wanted (text_hash, id); one row of each text is read."""
+    bounded_batches(docs.sparkSession)
+    side = wanted.select("text_hash", F.col("id").alias("_id"))
+    side = F.broadcast(side) if small_enough(side) else side
+    rows = docs.select(F.col(id_column), F.xxhash64(column).alias("_hash"), F.col(column).alias("_text"))
+    rows = rows.join(side, (F.col("_hash") == F.col("text_hash")) & F.col(id_column).eqNullSafe(F.col("_id"))).select("text_hash", "_text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["text_hash", "shingles"])
 
-def verified(near: DataFrame, docs: DataFrame, id_column: str, column: str, texts: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the least similarity. One row of each text is read."""
-    wanted = near.select(F.col("a").alias("text_hash")).union(near.select("b")).distinct()
-    wanted = materialise(wanted.join(texts, "text_hash").select("text_hash", F.col("winner.id").alias("_id")), "wanted")
-    wanted = F.broadcast(wanted) if small_enough(wanted) else wanted
-    rows = docs.select(F.col(id_column), F.xxhash64(column).alias("_hash"), F.col(column).alias("_text"))
-    rows = rows.join(wanted, (F.col("_hash") == F.col("text_hash")) & F.col(id_column).eqNullSafe(F.col("_id"))).select("text_hash", "_text")
-    sets = materialise(_mapped(rows, "shingles array<long>", lambda t: (shingle_hashes(t),)), "sets").dropDuplicates(["text_hash"])
-    sides = near.select("a", "b", F.explode(F.array("a", "b")).alias("text_hash")).join(sets, "text_hash")
-    both = sides.groupBy("a", "b").agg(F.collect_list("shingles").alias("s"))  # two sets for each pair
-    common = F.size(F.array_intersect(F.get("s", 0), F.get("s", 1)))
-    total = F.size(F.get("s", 0)) + F.size(F.get("s", 1)) - common
-    return materialise(both.where((F.size("s") == 2) & (common >= SIMILARITY * total)).select("a", "b"), "links")
+    return materialise(rows.mapInArrow(run, "text_hash long, shingles array<long>").dropDuplicates(["text_hash"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the least similarity.
+
+    The set of a travels with its pair, that of b, which is the hub of many pairs, does
+    not: it meets them where they are, and a hub's pairs can be split over tasks.
+    """
+    own = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = own.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    total = F.size("sa") + F.size("sb") - common
+    return materialise(both.where(common * SIMILARITY[1] >= total * SIMILARITY[0]).select("a", "b"), "links")
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -174,29 +212,31 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text")
     A group is what links connect: equal texts, short fingerprints within two bits, and
     near copies. The document of the smallest id stays; ids that are null come after all
     others, and among equal ids the text of the smallest hash stays. Rows that repeat both
-    id and text are one document and stay together. Texts without words are one group.
+    id and text are one document and stay together. Texts without words are one group. An
+    empty table stays empty; other columns, whatever their names, are kept.
     What goes is the smaller side by far, so it is what the texts are joined with:
     broadcast where its size allows, else by a shuffle.
     """
-    source = df.select(F.col(id_column), F.xxhash64(column).alias("text_hash"), F.col(column).alias("_text"))
-    rows = materialise(_mapped(source, "fp long, keys array<int>", lambda t: (simhash.fingerprint(t), blocks(t))), "fingerprints")
-    rank = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("text_hash").alias("hash"))
-    texts = materialise(rows.groupBy("text_hash").agg(F.min(rank).alias("winner"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    rows = materialise(signatures(df, id_column, column), "signatures")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = materialise(rows.groupBy("text_hash").agg(F.min(rank).alias("winner"), F.max("fp").alias("fp")), "texts")
     prints = materialise(texts.groupBy("fp").agg(F.min("text_hash").alias("node")), "nodes")
     same = texts.join(prints, "fp").select(F.col("text_hash").alias("a"), F.col("node").alias("b"))
     short = simhash.links(prints.select("fp"))
     of = lambda name: prints.select(F.col("fp").alias(name), F.col("node").alias(f"n{name}"))
     short = short.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
-    shared = shared_blocks(texts)
-    linked = lambda pairs: verified(close(pairs, texts), df, id_column, column, texts)
+    shared = blocks(candidates(rows))
+    wanted = materialise(shared.select("text_hash").distinct().join(texts, "text_hash").select("text_hash", F.col("winner.id").alias("id")), "wanted")
+    sets = sets_of(wanted, df, id_column, column)
+    linked = lambda pairs: verified(pairs, sets)
     roots = connected_components(same.union(short).union(linked(star_pairs(shared))))
-    roots = settled(shared.where("text_hash <> hub"), roots, linked)
+    roots = settled(shared.where("text_hash <> hub").select("key", "text_hash", "n"), roots, linked)
     named = texts.join(roots, texts.text_hash == roots.node, "left").select("text_hash", "winner", F.coalesce("root", "text_hash").alias("root"))
     least = named.groupBy("root").agg(F.min("winner").alias("winner"))
     losing = named.select("text_hash", "root").join(least, "root").select("text_hash", "winner")
-    stays = F.col(id_column).eqNullSafe(F.col("winner.id")) & (F.col("text_hash") == F.col("winner.hash"))
-    gone = rows.join(losing, "text_hash").where(~stays).select(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    stays = F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("text_hash") == F.col("winner.hash"))
+    gone = rows.select("id", "text_hash").join(losing, "text_hash").where(~stays).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     gone = materialise(gone, "copies")
     gone = F.broadcast(gone) if small_enough(gone) else gone
     return df.join(gone, df[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(df[column]) == F.col("_hash")), "left_anti")

@@ -128,28 +128,55 @@ def _rows(df: DataFrame, make) -> DataFrame:
     return df.mapInArrow(grouped, "key long, id long, pos int")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """The rows (key, id, pos) whose key another id has too. rows is read twice."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
-        if not len(keys):
-            return
+_MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("state", pa.int32())])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted rows (key, id, pos) of a task that stand beside another id of their key, as
+    state 1, and those of its first and last key that do not, as state 2: a neighbouring
+    task may have another id. One key's rows of one id are held at a time, no more."""
+    key = owner = None  # of the run that the last batch ended in
+    met = False  # whether that run has a second id, so that its rows are out already
+    first = True  # whether it is the task's first run
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def out(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray, state: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(pos), pa.array(np.full(len(keys), state, np.int32))], schema=_MARKED)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, ids, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ends = np.append(starts[1:], len(keys)) - 1
-        state = (ids[starts] != ids[ends]).astype(np.int32)  # sorted, so a run has one id if its ends do
-        edge = np.zeros(len(starts), bool)
-        edge[[0, -1]] = True
-        state = np.repeat(np.where(edge & (state == 0), 2, state), ends - starts + 1)
-        out = table.append_column("state", pa.array(state)).filter(pa.array(state > 0))
-        yield from out.combine_chunks().to_batches()
+        ends = np.append(starts[1:], len(keys))
+        several = ids[starts] != ids[ends - 1]  # sorted, so a run has one id if its ends do
+        if key is not None and keys[0] == key:
+            several[0] |= met or ids[0] != owner
+            if several[0]:
+                yield from (out(*h, 1) for h in held)
+                held = []
+        else:
+            yield from (out(*h, 2) for h in held if first)
+            held, first = [], key is None
+        rows = np.repeat(several, ends - starts)
+        if rows.any():
+            yield out(keys[rows], ids[rows], pos[rows], 1)
+        if len(starts) > 1:  # the run that the batch begins in is over
+            if first and not several[0]:
+                held.append((keys[: ends[0]], ids[: ends[0]], pos[: ends[0]]))
+            yield from (out(*h, 2) for h in held if first)
+            held, first = [], False
+        if not several[-1]:
+            held.append((keys[starts[-1] :], ids[starts[-1] :], pos[starts[-1] :]))
+        key, owner, met = keys[-1], ids[-1], bool(several[-1])
+    yield from (out(*h, 2) for h in held)
+
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows (key long, id long, pos int) whose key another id has too. rows is read twice."""
     ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "pos")
-    marked = materialise(ordered.mapInArrow(mark, "key long, id long, pos int, state int"), "marked")
+    bounded_batches(rows.sparkSession)
+    marked = materialise(ordered.mapInArrow(_mark, "key long, id long, pos int, state int"), "marked")
     edges = marked.where("state = 2").select("key").distinct()  # two a task at most
     whole = marked.join(F.broadcast(edges), "key", "left_semi").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     met = marked.where("state = 2").join(F.broadcast(whole), "key", "left_semi")

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callweave.llm import suffixes
@@ -121,3 +122,23 @@ def test_equals_sql(spark):
     want = c.execute(f"SELECT doc_id, n_words, n_repeated, spans, first_doc_id FROM ({suffixes.oracle_sql()})").fetchall()
     rows = suffixes.report(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sorted(tuple(r) for r in rows) == sorted(want) and want
+
+
+def test_runs_are_marked_batch_by_batch():
+    """Every cut into batches gives what a look at the whole task gives."""
+    rng = random.Random(1)
+    names = ["key", "id", "pos"]
+    for _ in range(1500):
+        n = rng.randint(0, 14)
+        rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(5)) for _ in range(n))
+        batches, at = [], 0
+        while at < n or rng.random() < 0.1:
+            k = rng.randint(0, 5)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + k]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=names))
+            at += k
+        found = sorted(tuple(r.values()) for b in suffixes._mark(iter(batches)) for r in b.to_pylist())
+        ids = defaultdict(set)
+        for key, i, _ in rows:
+            ids[key].add(i)
+        want = [(*r, 1 if len(ids[r[0]]) > 1 else 2) for r in rows if len(ids[r[0]]) > 1 or r[0] in (rows[0][0], rows[-1][0])]
+        assert found == want
