@@ -1,115 +1,157 @@
 """Byte-level BPE encoding and decoding by tree reduction.
 
-A text is cut in halves until the parts are short, the parts are encoded, and
-neighbours are joined upwards. Three facts make the joins exact:
-
-1. Between a letter or digit and a following blank or line feed, every parse of
-   the pattern has a boundary, and no match or look-ahead reaches across it. Parts
-   cut there join by concatenation.
-2. The matches of the pattern are encoded one by one, so a run without such a
-   place is cut between matches.
-3. Inside one long match, a token sequence is the encoding of its bytes if, and
-   only if, each two adjacent tokens are the encoding of their joint bytes. A join
-   re-encodes a window around the seam and doubles it until the tokens on both
-   rims fit their neighbours outside; those outside cannot change any more.
+A text is halved until the parts are short, wherever that cuts it. A part is a node: its
+matches of the pattern and the tokens of each. Neighbours are joined upwards by encoding a
+window around the cut anew, which doubles until what lies outside provably cannot change:
+
+1. Matches. Matching looks at no character before its start, so parts that agree on a
+   boundary agree on all that follows. Between a letter or digit and a following blank or
+   line feed every parse has a boundary, and no match or look-ahead reaches across it. A
+   window of matches is wide enough once both its rims are such places (or the part's end).
+2. Tokens. A match that is long is halved too, at any byte. A token sequence is the
+   encoding of its bytes if, and only if, each two adjacent tokens are the encoding of
+   their joint bytes. A window of tokens is wide enough once the tokens on both its rims
+   fit their neighbours outside.
+
+Leaves are encoded by merging the pair of least rank first. Both joins are associative, so
+the result does not depend on where a text is cut. Decoding concatenates up the tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches
 
-#: Characters of a leaf of the tree over a text; bytes of a leaf inside a match.
-LEAF_CHARS, LEAF_BYTES = 8192, 512
+#: Characters of a leaf of the tree over a text; bytes of a leaf inside a match; token ids of a leaf in decoding.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1024, 16, 8192
+#: Matches whose tokens a worker remembers, and the length up to which it does.
+REMEMBERED, MEMORABLE = 400_000, 64
+#: Stands for the rank of a pair that has none.
+_NONE = 1 << 40
 
-_SEAM = re.compile(r"(?<=[^\W_])[ \n]")
+Node = tuple[list[str], list[tuple[int, ...]]]  # matches and the tokens of each
 
 
 class TreeCodec:
-    """Encoder and decoder for one rank file and one pattern."""
+    """Encoder and decoder for one rank file and one pattern, whose matches cover any text."""
 
     def __init__(self, rank_file: bytes, pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(pattern)
-        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+        self.matches = regex.compile(pattern).findall
+        self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.leaf_chars, self.leaf_bytes = leaf_chars, leaf_bytes
         self.fits = lru_cache(1 << 16)(self._fits)
+        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.joins = {"matches": 0, "tokens": 0}  # joins made so far, for tests and figures
 
     def encode(self, text: str) -> list[int]:
         """Token ids of text, each match of the pattern encoded separately."""
-        return self._text(text, 0, len(text))
+        return list(chain.from_iterable(self._node(text, 0, len(text))[1]))
 
-    def _text(self, text: str, lo: int, hi: int) -> list[int]:
-        if hi - lo <= self.leaf_chars:
-            return self.encoding.encode_ordinary(text[lo:hi])
-        cut = self._seam(text, lo, hi)
-        if cut is None:
-            return self._run(text[lo:hi])
-        left = self._text(text, lo, cut)
-        left.extend(self._text(text, cut, hi))
-        return left
+    # ------------------------------------------------ the tree over a text
 
-    @staticmethod
-    def _seam(text: str, lo: int, hi: int) -> int | None:
-        """The place to cut that is nearest to the middle on its right, else left."""
+    def _node(self, text: str, lo: int, hi: int) -> Node:
+        if hi - lo <= self.leaf_chars:
+            return self._leaf(text[lo:hi])
         mid = (lo + hi) // 2
-        if found := _SEAM.search(text, mid, hi):
-            return found.start()
-        width = 64
+        return self.join_nodes(self._node(text, lo, mid), self._node(text, mid, hi))
+
+    def _leaf(self, text: str) -> Node:
+        found = self.matches(text)
+        known = self.remembered
+        try:
+            return found, [known[m] for m in found]
+        except KeyError:
+            return found, [known[m] if m in known else self.tokens(m) for m in found]
+
+    def join_nodes(self, left: Node, right: Node) -> Node:
+        """The node of two neighbouring texts; left is used up."""
+        (a, ta), (b, tb) = left, right
+        if not a or not b:
+            return left if a else right
+        self.joins["matches"] += 1
+        width = 1
         while True:
-            start = max(lo + 1, mid - width)
-            last = None
-            for last in _SEAM.finditer(text, start, mid):
-                pass
-            if last:
-                return last.start()
-            if start == lo + 1:
-                return None
+            i, j = max(0, len(a) - width), min(len(b), width)
+            if (i == 0 or self._parted(a[i - 1], a[i])) and (j == len(b) or self._parted(b[j - 1], b[j])):
+                break
             width *= 2
+        found, tokens = self._leaf("".join(a[i:] + b[:j]))
+        a[i:], ta[i:] = found, tokens
+        a.extend(b[j:])
+        ta.extend(tb[j:])
+        return a, ta
 
-    def _run(self, run: str) -> list[int]:
-        """A run without a seam: its matches, long ones as trees of their own."""
-        out: list[int] = []
-        for piece in self.pieces.findall(run):
-            out.extend(self._piece(piece.encode()))
+    @staticmethod
+    def _parted(before: str, after: str) -> bool:
+        """Whether a boundary between these stands in every parse."""
+        return after[0] in " \n" and before[-1].isalnum()
+
+    # ------------------------------------------------ the tree over a match
+
+    def tokens(self, match: str) -> tuple[int, ...]:
+        """Tokens of one match: itself if it has a rank, else by merges."""
+        own = match.encode()
+        out = (self.ranks[own],) if own in self.ranks else tuple(self._bytes(own))
+        if len(match) <= MEMORABLE:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            self.remembered[match] = out
         return out
 
-    def _piece(self, piece: bytes) -> list[int]:
+    def _bytes(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf_bytes:
-            return self.encoding._encode_single_piece(piece)
+            return self.merged(piece)
         half = len(piece) // 2
-        return self.join(self._piece(piece[:half]), self._piece(piece[half:]))
+        return self.join(self._bytes(piece[:half]), self._bytes(piece[half:]))
+
+    def merged(self, piece: bytes) -> list[int]:
+        """The encoding of a few bytes: the leftmost pair of least rank is merged until none has a rank."""
+        get, n = self.ranks.get, len(piece)
+        parts = [piece[i : i + 1] for i in range(n)]
+        pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]  # rank of each part with the next
+        while pairs and (least := min(pairs)) != _NONE:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+        return [self.ranks[p] for p in parts]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the bytes of left and right, two parts of one match."""
+        """The encoding of the bytes of left and right, two neighbouring parts of one match."""
+        if not left or not right:
+            return left or right
+        self.joins["tokens"] += 1
         width = 1
-        while left and right:
+        while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            window = self.encoding._encode_single_piece(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.fits(left[i - 1], window[0])) and (j == len(right) or self.fits(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             width *= 2
-        return left or right
 
     def _fits(self, a: int, b: int) -> bool:
-        return self.encoding._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+
+    # ------------------------------------------------ decoding
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids, concatenated up the tree."""
-        if len(ids) <= self.leaf_chars:
-            return self.encoding.decode_bytes(ids)
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
