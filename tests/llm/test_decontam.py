@@ -18,9 +18,12 @@ def items(spark, texts):
     ("text", "leaks"),
     [
         (ITEM, True),
-        ("Before. " + ITEM.upper().replace("PARIS TO BONN", "Paris to Bonn").replace("FROM BONN", "from Bonn") + " after", False),  # names need their case
+        ("Before. " + ITEM.upper() + " after", False),  # names need their case
+        ("Before. " + ITEM.upper().replace("PARIS", "Paris").replace("BONN", "Bonn") + " after", True),
         ("Note: " + ITEM.replace("Paris", "Rome").replace("Bonn", "Oslo").replace("60", "45").replace("80", "33") + "!!!", True),
-        (ITEM.replace("after 60", "after 99"), False),  # one value of the item, two of the document
+        (ITEM.replace("after 60", "after 99"), True),  # all but the end word for word
+        (ITEM.replace("at 60", "at 45").replace("80", "33").replace("after 60", "after 99"), False),  # one value of the item, two of the document
+        (ITEM.replace("60", "45").replace("80", "45"), False),  # two values of the item, one of the document
         (ITEM.replace(" and ", " and then "), True),  # an insertion moves the rest
         (ITEM[: len(ITEM) // 2], False),
         ("nothing of the kind", False),
@@ -37,6 +40,27 @@ def test_leaks(spark, text, leaks):
     assert decontam.clean(d, b).columns == d.columns
 
 
+ASKED = [
+    ("Tom has 5 pens. Tom buys 3 more pens. How many pens does Tom have now?", "Sara has 7 pens. Sara buys 2 more pens. How many pens does Sara have now?", "Sara has 7 pens. Tim buys 2 more pens. How many pens does Ann have now?"),
+    ("A car drives 60 kilometers in 2 hours. What is its speed in meters per minute?", "A car drives 45 miles in 3 hours. What is its speed in feet per minute?", "A car drives 45 miles in 45 hours. What is its weight in tons?"),
+    ("There are twelve birds on a tree and forty more arrive. How many birds are there in all?", "There are twenty birds on a tree and 50 more arrive. How many birds are there in all?", "There are twelve nests in a bush and forty eggs."),
+]
+
+
+def test_questions_asked_again_with_other_slots(spark):
+    """Names at the start of sentences, units without a number before them, number words."""
+    d, b = docs(spark, [f"Intro. {x} Outro." for _, again, other in ASKED for x in (again, other)]), items(spark, [a for a, _, _ in ASKED])
+    assert {(r.doc_id, r.item_id) for r in decontam.report(d, b).collect()} == {(0, 0), (2, 1), (4, 2)}
+
+
+def test_a_window_that_all_items_share(spark):
+    """Hot windows are no seeds, and items are found nonetheless; long slot values are whole."""
+    line = "How many of the {} are left in the end of {}?"
+    texts = [f"{line.format(f'w{i}', f'v{i}')} z{i} " + " ".join(f"q{i}x{j}" for j in range(9)) for i in range(40)] + ["9" * 70_000 + " a b c d e f"]
+    d = docs(spark, [texts[7], texts[33] + " more", line.format("a", "b"), texts[40], texts[40][1:]])
+    assert {(r.doc_id, r.item_id) for r in decontam.report(d, items(spark, texts)).collect()} == {(0, 7), (1, 33), (3, 40), (4, 40)}
+
+
 def test_changed_slots_are_counted(spark):
     text = ITEM.replace("Paris", "Rome").replace("60", "45")
     [r] = decontam.report(docs(spark, [text]), items(spark, [ITEM])).collect()
@@ -73,6 +97,6 @@ def test_equals_sql(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = sorted(c.execute(f"SELECT doc_id, item_id, coverage FROM ({decontam.oracle_sql()})").fetchall())
+    want = sorted(c.execute(f"SELECT doc_id, item_id, coverage, n_slots, n_changed FROM ({decontam.oracle_sql()})").fetchall())
     got = decontam.report(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
-    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got.collect()) == want and want
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.n_slots, r.n_changed) for r in got.collect()) == want and want
