@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialise
 
-#: The classifier is fitted on about so many labelled rows, drawn by hash from all of
-#: them, and keeps at most so many words and n-grams, the most frequent ones.
-SAMPLE_ROWS, WORDS, GRAMS = 6000, 100_000, 150_000
+#: The classifier is fitted on about so many labelled rows, drawn by hash from all of them;
+#: every word and n-gram of these that occurs often enough is kept.
+SAMPLE_ROWS = 6000
 LONGEST = 5
 #: A word or n-gram counts as known from so many occurrences.
 LEAST = 2
@@ -46,9 +46,13 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Log shares of the languages, a row for each known word and each known n-gram."""
+
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    grams: dict[str, int]
+    word_rows: np.ndarray
+    gram_rows: np.ndarray
 
 
 class Scorer:
@@ -56,11 +60,11 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = {w: i for i, w in enumerate(model.words)}
+        self.known = model.words
         width = len(model.languages)
         self.rows = np.zeros((len(self.known) + REMEMBERED, max(1, width)), np.float32)
         if self.known:
-            self.rows[: len(self.known)] = np.array(list(model.words.values()), np.float32)
+            self.rows[: len(self.known)] = model.word_rows
         self.seen: dict[str, int] = {}
 
     def _place(self, word: str) -> int:
@@ -73,9 +77,9 @@ class Scorer:
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the known n-grams of the greatest length that has any."""
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams_of(word, n) if (v := self.model.grams.get(g))]
+            found = [v for g in grams_of(word, n) if (v := self.model.grams.get(g)) is not None]
             if found:
-                return np.array(found[0] if len(found) == 1 else [sum(x) / len(found) for x in zip(*found, strict=True)], np.float32)
+                return self.model.gram_rows[found].mean(0)
         return np.full(len(self.model.languages), -math.log(len(self.model.languages)), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -112,8 +116,9 @@ def remainder(id_column: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from rows with a text and a language; rows that lack either are ignored.
 
-    Everything is counted by Spark over the sample; what reaches the driver is at most
-    WORDS + GRAMS rows. Without rows the model has no language.
+    Everything is counted by Spark over the sample; what reaches the driver is one row for
+    each word and n-gram of it that occurs LEAST times, so it is bounded by sample_rows.
+    Repeated rows count as often as they are there. Without rows the model has no language.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(lang).isNotNull())
@@ -125,17 +130,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     totals = {(r.k, r.lang): r.times for r in counts.groupBy(F.least("n", F.lit(1)).alias("k"), "lang").agg(F.sum("times").alias("times")).collect()}
     languages = sorted({lang for _, lang in totals})
 
-    def table(k: int, keep: int) -> dict[str, tuple[float, ...]]:
-        rows = counts.where("n = 0" if not k else "n > 0").groupBy("token").agg(F.sum("times").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by")).where(F.col("all") >= LEAST)
-        out = {}
-        for r in rows.orderBy(F.desc("all"), "token").limit(keep).collect():
-            freq = [(r.by.get(x, 0) + 0.05) / (totals.get((k, x), 0) + 1) for x in languages]
-            out[r.token] = tuple(max(_FLOOR, math.log(f / sum(freq))) for f in freq)
-        return out
+    def table(k: int) -> tuple[dict[str, int], np.ndarray]:
+        own = [F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)]
+        rows = counts.where("n = 0" if not k else "n > 0").groupBy("token").agg(F.sum("times").alias("all"), *own).where(F.col("all") >= LEAST).drop("all").toArrow()
+        freq = np.stack([(rows.column(i + 1).to_numpy() + 0.05) / (totals.get((k, x), 0) + 1) for i, x in enumerate(languages)], 1) if languages else np.zeros((0, 0))
+        shares = np.maximum(_FLOOR, np.log(freq / freq.sum(1, keepdims=True)))
+        return {t: i for i, t in enumerate(rows.column(0).to_pylist())}, shares.astype(np.float32)
 
-    model = Model(languages, table(0, WORDS), table(1, GRAMS))
+    (words, word_rows), (grams, gram_rows) = table(0), table(1)
     discard(counts)
-    return model
+    return Model(languages, words, grams, word_rows, gram_rows)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +186,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
     Learns from the documents whose remainder is 0, 1 or 3. A document without an id is
-    neither learned from nor held out.
+    neither learned from nor held out. A null text, or one without letters, is und with
+    score 0; repeated rows stay, and an empty table gives no rows.
     """
     rest = remainder()
     model = fit(docs.where(rest != 2).select("doc_id", "text", "lang"))
@@ -191,7 +196,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; the others are rejected."""
+    """The documents whose language can be told; the others are rejected.
+
+    Null texts and texts without letters go; ties of languages are no reason to go.
+    Repeated rows stay, an empty table stays empty, other columns are kept as they are.
+    """
     model = fit(docs.where(remainder() != 2).select("doc_id", "text", "lang"))
     names = docs.columns
     free = {c: f"_c{i}" for i, c in enumerate(names)}

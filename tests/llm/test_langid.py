@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import pytest
@@ -29,7 +32,7 @@ def test_words_first_then_grams(model):
     assert s.predict("the and the")[0] == "en" and s.predict("und und")[0] == "de"
     # an unseen word takes the mean of its longest known n-grams
     longest = max(n for n in range(1, 6) if any(g in model.grams for g in langid.grams_of("undx", n)))
-    known = [model.grams[g] for g in langid.grams_of("undx", longest) if g in model.grams]
+    known = [model.gram_rows[model.grams[g]] for g in langid.grams_of("undx", longest) if g in model.grams]
     assert s.backoff("undx") == pytest.approx([sum(x) / len(known) for x in zip(*known, strict=True)], rel=1e-5)
 
 
@@ -63,3 +66,55 @@ def test_only_texts_without_language_are_rejected(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(9))
+
+
+def test_every_word_of_the_sample_is_learned(spark):
+    """More words and n-grams than any former limit allowed, and a tie between languages."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    words = [name() for _ in range(120_000)]
+    rows = [(" ".join(words[i::40] * 2), "ab"[i % 2]) for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.words) == set(words) and len(model.grams) > 150_000
+    tie = langid.fit(spark.createDataFrame([("same same", "b"), ("same same", "a")], "text string, lang string"))
+    assert langid.Scorer(tie).predict("same") == ("a", pytest.approx(0.5))
+
+
+def slow_prediction(train, text):
+    """The best language by the rule, word by word and without any table of the module."""
+    languages = sorted({lang for _, lang in train})
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    seen = {lang: [w for t, own in train if own == lang for w in words(t)] for lang in languages}
+    parts = {lang: [g for w in seen[lang] for n in range(1, langid.LONGEST + 1) for g in langid.grams_of(w, n)] for lang in languages}
+
+    def shares(token, pool):
+        times = [pool[lang].count(token) for lang in languages]
+        if sum(times) < langid.LEAST:
+            return None
+        freq = [(t + 0.05) / (len(pool[lang]) + 1) for t, lang in zip(times, languages, strict=True)]
+        return [max(-7.0, math.log(f / sum(freq))) for f in freq]
+
+    total, found = [0.0] * len(languages), words(text)
+    for w in found:
+        own = shares(w, seen)
+        for n in range(langid.LONGEST, 0, -1):
+            if own is None and (known := [x for g in langid.grams_of(w, n) if (x := shares(g, parts))]):
+                own = [sum(x) / len(known) for x in zip(*known, strict=True)]
+        for i, x in enumerate(own or [-math.log(len(languages))] * len(languages)):
+            total[i] += x
+    if not found:
+        return "und", 0.0
+    best = max(range(len(languages)), key=lambda i: (total[i], -i))
+    return languages[best], min(1.0, math.exp(total[best] / len(found)))
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(9)
+    alphabet = {"x": "abcdé", "y": "cdefß", "z": "aehß"}
+    text = lambda lang: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12)))
+    train = [(text(lang), lang) for lang in "xyz" for _ in range(5)]
+    scorer = langid.Scorer(langid.fit(spark.createDataFrame(train, "text string, lang string")))
+    for _ in range(80):
+        t = text(rng.choice("xyz")) + rng.choice(["", " 42!", " ÉCOLE q_w"])
+        want, got = slow_prediction(train, t), scorer.predict(t)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-4)
