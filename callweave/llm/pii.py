@@ -12,6 +12,7 @@ together.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -79,7 +80,7 @@ CUES = (
     "phone telephone tel mobile cell fax call dial ssn social security passport identity licence license number no id born "
     "version page chapter section room item order year isbn apache mit gnu"
 ).split()
-SENTENCE = 64  # words of the longest unit that is decoded as one
+SEGMENT = 64  # words of a sentence that are decoded in one run; longer ones are chained exactly
 
 _SPACE, _LOWER, _UPPER, _NUMBER, _DOT, _DASH, _AT, _ROUND, _PLUS, _STOP, _OTHER = range(11)
 _POWERS = np.array([pow(1_000_003, i, 1 << 64) for i in range(17)], np.uint64)
@@ -155,8 +156,7 @@ class Words:
         self.features = np.stack((mask, buckets, np.minimum(digits, 11), cue, tail), 1).astype(np.int32)
         stops = (tail == 1) & ~np.isin(cue, _TITLES)
         begins = np.concatenate(([True], stops[:-1] | (line[self.start[1:]] != line[self.start[:-1]])))
-        since = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-        self.first = begins | (since % SENTENCE == 0)
+        self.first = begins
 
     def _places(self, n: int) -> np.ndarray:
         starts = np.append(0, self.start)
@@ -195,29 +195,73 @@ class Field:
         return out
 
     def decode(self, words: Words) -> np.ndarray:
-        """The best label of each word."""
+        """The best label of each word.
+
+        Sentences are cut into segments of SEGMENT words, and all segments take each step
+        together. Of a sentence of several segments, each segment gives the best score from
+        every label before it to every label at its end (Viterbi is associative); these are
+        chained from left to right and followed back from right to left, which fixes the
+        labels at the ends of segments. Then each segment is decoded between its fixed ends.
+        """
         n = len(words.start)
         if not n:
             return np.zeros(0, np.int8)
         scores = self.emissions(words)
-        begin = np.flatnonzero(words.first)
-        size = np.diff(np.append(begin, n))
+        since = np.arange(n) - np.maximum.accumulate(np.where(words.first, np.arange(n), 0))
+        cut = np.flatnonzero(since % SEGMENT == 0)
+        size = np.diff(np.append(cut, n))
+        new = words.first[cut]  # whether a segment begins its sentence
+        y = len(LABELS)
+        enter = np.where(new, -1, 0)  # label before a segment; -1: none, the sentence begins
+        leave = np.full(len(cut), -1)  # label at its end; -1: free
+        chained = np.flatnonzero(~new | np.append(~new[1:], False))
+        if len(chained):
+            through = self._through(scores, cut[chained], size[chained], new[chained])
+            best, back = np.zeros((len(chained), y)), np.zeros((len(chained), y), np.int64)
+            begins = np.flatnonzero(new[chained])
+            rank = np.arange(len(chained)) - begins[np.searchsorted(begins, np.arange(len(chained)), side="right") - 1]
+            order = np.argsort(rank, kind="stable")
+            bounds = np.searchsorted(rank[order], np.arange(rank.max() + 2))
+            for a, b in itertools.pairwise(bounds.tolist()):  # the first segments of all, the second ones, ..
+                at = order[a:b]
+                paths = through[at] if not rank[at[0]] else best[at - 1][:, :, None] + through[at]
+                back[at], best[at] = paths.argmax(1), paths.max(1)
+            last = np.append(rank[1:] == 0, True)
+            for a, b in reversed(list(itertools.pairwise(bounds.tolist()))):
+                at = order[a:b]
+                nxt = np.minimum(at + 1, len(chained) - 1)
+                leave[chained[at]] = np.where(last[at], best[at].argmax(1), enter[chained[nxt]])
+                enter[chained[at]] = np.where(rank[at] > 0, back[at, leave[chained[at]]], -1)
+        return self._between(scores, cut, size, enter, leave)
+
+    def _through(self, scores: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """(segments, label before, label at the end): best scores; a sentence's first
+        segment has the same from each label, as there is none before."""
+        first = np.where(new[:, None, None], self.begin[None, None, :], self.steps[None])
+        best = first + scores[begin][:, None, :]
+        for t in range(1, size.max()):
+            live = size > t
+            best[live] = (best[live][:, :, :, None] + self.steps[None, None]).max(2) + scores[begin[live] + t][:, None, :]
+        return best
+
+    def _between(self, scores: np.ndarray, begin: np.ndarray, size: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Labels of all words by Viterbi in each segment, between its fixed ends."""
         order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        active = [int(np.searchsorted(-size, -t, side="left")) for t in range(size[0] + 1)]  # sentences longer than t
-        best = scores[begin] + self.begin
+        begin, size, enter, leave = begin[order], size[order], enter[order], leave[order]
+        active = [int(np.searchsorted(-size, -t, side="left")) for t in range(size[0] + 1)]  # segments longer than t
+        best = scores[begin] + np.where((enter < 0)[:, None], self.begin, self.steps[enter])
         back = []
         final = np.zeros(len(begin), np.int8)
         for t in range(1, size[0] + 1):
             live = active[t]
             ended = slice(live, active[t - 1])
-            final[ended] = best[ended].argmax(1)
+            final[ended] = np.where(leave[ended] < 0, best[ended].argmax(1), leave[ended])
             if not live:
                 break
             through = best[:live, :, None] + self.steps[None]
             back.append(through.argmax(1).astype(np.int8))
             best = np.take_along_axis(through, back[-1][:, None, :].astype(np.int64), 1)[:, 0] + scores[begin[:live] + t]
-        labels = np.zeros(n, np.int8)
+        labels = np.zeros(len(scores), np.int8)
         now = final.copy()
         for t in range(size[0] - 1, -1, -1):
             live = active[t]
@@ -433,6 +477,8 @@ def report(df: DataFrame, column: str = "text", field: Field | None = None) -> D
     """df and counts of pattern spans, the digest of their list and the list of all spans.
 
     Offsets are code points, ends exclusive. A null text counts as empty and has no spans.
+    Repeated rows give repeated results, an empty table gives no rows, and columns of df
+    that have a result's name are replaced. Spans that start together are in KINDS' order.
     """
 
     def make(text: str | None, base: list[Span], every: list[Span]) -> tuple:
@@ -446,7 +492,8 @@ def mask(df: DataFrame, column: str = "text", length: str | None = "n_chars", fi
     """df with personal data in a text column replaced by its kind, as in <EMAIL>.
 
     A length column of df, if named, is set to the new number of characters where a text
-    changed. Null texts stay null, and texts without findings stay as they are.
+    changed. Null texts stay null, and texts without findings stay as they are; repeated
+    rows stay, and an empty table stays empty.
     """
     extra = length if length in df.columns else None
 

@@ -105,3 +105,32 @@ def test_long_runs_of_digits():
     assert pii.pattern_spans("0" * 6000 + "." + "0" * 6000 + ".0.255") == [(0, 1, 12007)]
     assert pii.pattern_spans("1.1.1." + "9" * 6000) == []
     assert pii.pattern_spans("7" * 9000) == []
+
+
+def plain_viterbi(field, scores):
+    """The best score of a whole sentence, step by step."""
+    best = field.begin.astype(float) + scores[0]
+    for row in scores[1:].astype(float):
+        best = (best[:, None] + field.steps).max(0) + row
+    return best.max()
+
+
+def test_long_sentences_are_one_chain(field):
+    rng = random.Random(12)
+    spice = ["Mr.", "Tom", "Berlin", "12", "Street", "call", "555-123-4567", "no", "Dr.", "address:"]
+    for sizes in ((1,), (64,), (65,), (128, 3, 129), (700, 64, 1, 200, 63)):
+        lines = [" ".join(rng.choice(spice) if rng.random() < 0.3 else "filler" for _ in range(n)) for n in sizes]
+        words = pii.Words("\n".join(x.replace(".", "") for x in lines))
+        scores, labels = field.emissions(words), field.decode(words)
+        first = np.flatnonzero(words.first)
+        assert list(np.diff([*first, len(labels)])) == list(sizes)
+        for a, b in zip(first, [*first[1:], len(labels)], strict=True):
+            own = labels[a:b]
+            got = field.begin[own[0]] + scores[np.arange(a, b), own].sum(dtype=float) + field.steps[own[:-1], own[1:]].sum(dtype=float)
+            assert got == pytest.approx(plain_viterbi(field, scores[a:b]), rel=1e-4, abs=1e-2)
+
+
+def test_names_anywhere_in_a_long_sentence(field):
+    for n in (0, 30, 61, 62, 63, 64, 65, 127, 128, 300):
+        text = "and " * n + "Dr. Martin Belker said so"
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.field_spans(field, [text])[0]] == [("name", "Martin Belker")], n
