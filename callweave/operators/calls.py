@@ -14,13 +14,15 @@ from ..functions.numbers import exact_round, stt_cost
 from ..functions.text import basename, host
 
 
-def flatten(payload: DataFrame) -> DataFrame:
+def flatten(payload: DataFrame, order: str | None = None) -> DataFrame:
     """Flat call records of a payload (items array of requests with an array of calls).
 
-    Requests without calls give no row. `seq` numbers the records of a payload row in
-    their order.
+    Requests without calls give no row. `seq` orders the records: by the payload's order
+    column, if it has one, then by their places in the payload. Without such a column the
+    payload's own content takes its place, so that no order depends on how files are split.
     """
-    items = payload.select(F.monotonically_increasing_id().alias("_row"), F.posexplode("items").alias("_i", "r")).select("_row", "_i", "r", F.posexplode("r.calls").alias("_j", "c"))
+    row = F.col(order) if order else F.xxhash64(F.to_json("items"))
+    items = payload.select(row.alias("_row"), F.posexplode("items").alias("_i", "r")).select("_row", "_i", "r", F.posexplode("r.calls").alias("_j", "c"))
     text = lambda c: F.coalesce(c, F.lit(""))
     return items.select(
         F.struct("_row", "_i", "_j").alias("seq"),
@@ -71,13 +73,17 @@ def split_range(first: date, last: date, count: Callable[[date, date], int], lim
     return left + right, cut_left or cut_right
 
 
-def read_ranges(ranges: list[tuple[date, date]], read: Callable[[date, date], DataFrame]) -> DataFrame:
-    """All records of the ranges, without the repeats that overlap at their edges."""
-    parts = [read(*r) for r in ranges]
+def read_ranges(ranges: list[tuple[date, date]], read: Callable[[date, date], DataFrame], key: str = "id") -> DataFrame:
+    """All records of the ranges; of records with one key, as at the edges, that of the first range.
+
+    Within a range the least record stands for its key.
+    """
+    parts = [read(*r).withColumn("_range", F.lit(i)) for i, r in enumerate(ranges)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    plain = [f"`{c}`" for c, t in out.dtypes if c != "_range" and not t.startswith("map")]
+    return keep_first(out, key, F.struct("_range", *plain)).drop("_range")
 
 
 def download_guard(url: Column, allowed: str, status: Column | None = None, content_type: Column | None = None, size: Column | None = None) -> Column:

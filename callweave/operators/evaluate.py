@@ -95,8 +95,11 @@ def prepare(transcripts: DataFrame, max_tokens: int = 30_000, companies: list[st
     """transcripts (call_id, filename, transcript, result, status) ready to be graded.
 
     Adds call_type, method, cleaned (roles, white space, cut to the budget), removed_pct
-    and error: TOO_SHORT, or what input_error() says.
+    and error: TOO_SHORT, or what input_error() says. Where transcripts have a column
+    stt_status, only those with Success are taken, as others have no text to be graded.
     """
+    if "stt_status" in transcripts.columns:
+        transcripts = transcripts.where("stt_status = 'Success'")
     labelled = roles.label_roles(turns.split_lines(transcripts.select("call_id", F.coalesce("transcript", F.lit("")).alias("transcript"))), companies)
     methods = labelled.groupBy("call_id").agg(F.max("method").alias("method"))
     texts = turns.transcripts(labelled).select("call_id", text.clean(F.col("transcript")).alias("cleaned"))

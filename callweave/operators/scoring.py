@@ -15,17 +15,19 @@ _WEIGHT = "decimal(10,4)"
 def applicable(calls: DataFrame, criteria: DataFrame) -> DataFrame:
     """calls (.., follow_up boolean) with each criterion that applies to their type.
 
-    criteria (key, category, weight, applicability, ordinal) is a dimension of a few
-    dozen rows; it is broadcast, whatever the number of calls.
+    criteria (key, category, weight, applicability, ordinal) are users' own, so it is left to
+    Catalyst, by their size, whether they are broadcast; both types are spelled out for an
+    equi-join.
     """
-    wanted = F.when(F.col("follow_up"), "second_only").otherwise("first_only")
-    return calls.join(F.broadcast(criteria), (F.col("applicability") == "both") | (F.col("applicability") == wanted))
+    kinds = F.when(F.col("applicability") == "both", F.array(F.lit("first_only"), F.lit("second_only"))).otherwise(F.array("applicability"))
+    typed = calls.withColumn("_kind", F.when(F.col("follow_up"), "second_only").otherwise("first_only"))
+    return typed.join(criteria.withColumn("_kind", F.explode(kinds)), "_kind").drop("_kind")
 
 
 def weighted(verdicts: DataFrame, criteria: DataFrame) -> DataFrame:
     """verdicts (call_id, key, score, ..) with category and weight; unknown keys get 1.0 and unknown."""
     dim = criteria.select("key", F.col("category").alias("_category"), F.col("weight").alias("_weight"))
-    out = verdicts.join(F.broadcast(dim), "key", "left")
+    out = verdicts.join(dim, "key", "left")
     return out.withColumn("category", F.coalesce("_category", F.lit("unknown"))).withColumn("weight", F.coalesce("_weight", F.lit(1.0))).drop("_category", "_weight")
 
 

@@ -46,14 +46,16 @@ def silence_stats(words: DataFrame) -> DataFrame:
     """Silence of each call that has a timed word: gaps of over a second, and the longest twenty."""
     timed = words.where("type = 'word' and start is not null").withColumn("from_s", F.lag("start").over(_order())).withColumn("gap_ms", (F.col("start") - F.col("from_s")) * 1000)
     ms = F.when(F.col("gap_ms") > SILENCE_MS, exact_round(F.col("gap_ms"), 0).cast("long"))
-    gap = F.when(ms.isNotNull(), F.struct((-ms).alias("by"), F.col("pos").alias("pos"), exact_round(F.col("from_s"), 1).alias("start_s"), exact_round(F.col("start"), 1).alias("end_s"), ms.alias("duration_ms")))
+    timed = timed.withColumn("_ms", ms).withColumn("_rank", F.row_number().over(W.partitionBy("call_id").orderBy(F.desc_nulls_last("_ms"), "pos")))
+    ms = F.col("_ms")
+    gap = F.when(ms.isNotNull() & (F.col("_rank") <= TOP_GAPS), F.struct((-ms).alias("by"), F.col("pos").alias("pos"), exact_round(F.col("from_s"), 1).alias("start_s"), exact_round(F.col("start"), 1).alias("end_s"), ms.alias("duration_ms")))
     found = timed.groupBy("call_id").agg(
         F.coalesce(F.max(ms), F.lit(0)).alias("longest_gap_ms"),
         F.count_if(ms >= 30000).alias("num_gaps_over_30s"),
         F.coalesce(F.sum(ms), F.lit(0)).alias("total_silence_ms"),
         F.count(ms).alias("num_gaps"),
         F.max_by("start", "pos").alias("_end"),
-        F.transform(F.slice(F.array_sort(F.collect_list(gap)), 1, TOP_GAPS), lambda g: F.struct(g["start_s"], g["end_s"], g["duration_ms"])).alias("gap_locations"),
+        F.transform(F.array_sort(F.collect_list(gap)), lambda g: F.struct(g["start_s"], g["end_s"], g["duration_ms"])).alias("gap_locations"),
     )
     length = F.when(F.col("_end") > 0, F.col("_end") * 1000).otherwise(0.0)
     return found.withColumn("silence_pct", exact_round(F.col("total_silence_ms") / F.greatest(F.lit(1.0), length) * 100, 1)).drop("_end")

@@ -21,30 +21,43 @@ _DECODER = json.JSONDecoder()
 
 
 def find_json(text: str | None) -> object | None:
-    """The JSON value of an answer: the whole of it, a fenced block, or the first object in it."""
+    """The JSON value of an answer: the whole of it, a fenced block, or the first object in it.
+
+    An answer that is nested too deeply to be read has none, nor has a number too long to
+    be one.
+    """
     text = (text or "").strip()
     candidates = [text, *(m[1] for f in _FENCES if (m := f.search(text)))]
-    for candidate in candidates:
-        try:
-            return json.loads(candidate)
-        except json.JSONDecodeError:
-            continue
-    at = text.find("{")
-    while at >= 0:
-        try:
-            value, _ = _DECODER.raw_decode(text, at)
-        except json.JSONDecodeError:
-            at = text.find("{", at + 1)
-            continue
-        return value
+    try:
+        for candidate in candidates:
+            try:
+                return json.loads(candidate)
+            except ValueError:  # not JSON, or a number of too many digits
+                continue
+        at = text.find("{")
+        while at >= 0:
+            try:
+                value, _ = _DECODER.raw_decode(text, at)
+            except ValueError:
+                at = text.find("{", at + 1)
+                continue
+            return value
+    except RecursionError:
+        return None
     return None
 
 
+def _dumped(value: object) -> str | None:
+    try:
+        return None if value is None else json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return None
+
+
 @F.pandas_udf(StringType())
 def _json_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        found = [find_json(t) for t in texts]
-        yield pd.Series([None if v is None else json.dumps(v, ensure_ascii=False) for v in found], dtype=object)
+        yield pd.Series([_dumped(find_json(t)) for t in texts], dtype=object)
 
 
 def extract_json(text: Column) -> Column:
@@ -53,6 +66,18 @@ def extract_json(text: Column) -> Column:
     return _json_of(text)
 
 
+def missing_note(missing: Column, shown: int = 5) -> Column:
+    """What is said of missing keys: the first five by name, and how many more there are."""
+    more = F.size(missing) - shown
+    named = F.concat(F.lit("Missing criteria: "), F.array_join(F.slice(missing, 1, shown), ", "))
+    return F.when(F.size(missing) > 0, F.when(more > 0, F.concat(named, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(named))
+
+
+def invalid_score(score: Column) -> Column:
+    """Whether a score, in either case, is none of the known verdicts; null is none."""
+    return F.coalesce(~F.upper(score).isin(rules.SCORES), F.lit(True))
+
+
 def parse_answers(answers: DataFrame, expected: list[str], column: str = "answer") -> DataFrame:
     """answers with `error`, `missing_keys`, `unexpected_keys` and the parsed `evaluation`.
 
@@ -67,8 +92,7 @@ def parse_answers(answers: DataFrame, expected: list[str], column: str = "answer
     out = found.withColumn("_got", got).withColumn("_keys", keys)
     want = F.array(*[F.lit(k) for k in expected])
     missing = F.array_sort(F.array_except(want, F.col("_keys")))
-    scores = F.transform(F.map_values("_got.criteria"), lambda v: F.upper(F.coalesce(v["score"], F.lit(""))))
-    bad = F.exists(F.coalesce(scores, F.array().cast("array<string>")), lambda s: ~s.isin(rules.SCORES))
+    bad = F.coalesce(F.exists(F.map_values("_got.criteria"), lambda v: invalid_score(v["score"])), F.lit(False))
     criteria = F.get_json_object("_json", "$.criteria")
     error = (
         F.when(F.col("_json").isNull(), "no_json")

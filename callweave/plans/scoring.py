@@ -97,18 +97,34 @@ _RAW_SCORES = ["yes", "Partial", "NO", "n/a", "maybe", "", None]
 
 @query("score_validation", f"SELECT o_orderkey, upper(s) AS score, coalesce(upper(s) NOT IN ('YES', 'PARTIAL', 'NO', 'N/A'), true) AS invalid FROM (SELECT o_orderkey, {base.pick_sql(_RAW_SCORES, 'o_orderkey')} AS s FROM orders)")
 def score_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import rules
+    score = base.pick(_RAW_SCORES, F.col("o_orderkey"))
+    return base.table(spark, sf_dir, "orders").select("o_orderkey", F.upper(score).alias("score"), verdicts.invalid_score(score).alias("invalid"))
 
-    score = F.upper(base.pick(_RAW_SCORES, F.col("o_orderkey")))
-    return base.table(spark, sf_dir, "orders").select("o_orderkey", score.alias("score"), F.coalesce(~score.isin(rules.SCORES), F.lit(True)).alias("invalid"))
 
+_GOOD = '{"criteria": {"a": {"score": "yes", "evidence": "%s"}, "b": {"score": "NO", "evidence": ""}}, "overall_assessment": "x", "strengths": [], "improvements": ["y"]}'
+_ANSWERS = [_GOOD, f"Sure:\n```json\n{_GOOD}\n```", f"```\n{_GOOD}\n```", f"text {{not json}} then {_GOOD} and more", '{"criteria": {', "", _GOOD.replace("yes", "perhaps"), '{"criteria": {}}', "[1, 2]", _GOOD.replace('"b"', '"c"')]
 
-@query("json_extract_validate")
+
+@query(
+    "json_extract_validate",
+    f"""WITH a AS (SELECT doc_id, replace({base.pick_sql(_ANSWERS, 'doc_id')}, '%s', regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')) AS s FROM documents),
+f AS (SELECT doc_id, s, list_filter([s, regexp_extract(s, '(?s)```json\\s*(.*?)\\s*```', 1), regexp_extract(s, '(?s)```\\s*(.*?)\\s*```', 1)], lambda x: x <> '' AND json_valid(x))[1] AS whole FROM a),
+p AS (SELECT doc_id, s, unnest(list_filter(range(1, length(s) + 1), lambda i: s[i] = '{{')) AS p FROM f WHERE whole IS NULL),
+q AS (SELECT doc_id, p, s, unnest(list_filter(range(p, length(s) + 1), lambda i: s[i] = '}}')) AS q FROM p),
+o AS (SELECT doc_id, arg_min(s[p:q], p) AS part FROM q WHERE json_valid(s[p:q]) GROUP BY doc_id),
+j AS (SELECT doc_id, CAST(coalesce(whole, part) AS JSON) AS j FROM f LEFT JOIN o USING (doc_id)),
+k AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN j->'criteria' END AS c FROM j),
+m AS (SELECT *, list_filter(['a', 'b'], lambda x: NOT list_contains(CASE WHEN json_type(c) = 'OBJECT' THEN json_keys(c) ELSE [] END, x)) AS missing FROM k),
+e AS (SELECT *, CASE WHEN j IS NULL THEN 'no_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object'
+    WHEN NOT list_has_all(json_keys(j), ['criteria', 'overall_assessment', 'strengths', 'improvements']) THEN 'missing_fields' WHEN json_type(c) <> 'OBJECT' THEN 'bad_criteria' WHEN len(missing) > 0 THEN 'missing_keys'
+    WHEN NOT list_has_all(['YES', 'PARTIAL', 'NO', 'N/A'], list_transform(json_keys(c), lambda x: upper(coalesce(c->x->>'score', '')))) THEN 'invalid_scores' END AS error FROM m)
+SELECT doc_id, error, len(missing) AS n_missing, CASE WHEN len(missing) > 0 THEN 'Missing criteria: ' || array_to_string(missing, ', ') END AS note, CASE WHEN error IS NULL THEN upper(c->'a'->>'score') END AS a_score, CASE WHEN error IS NULL THEN c->'a'->>'evidence' END AS evidence FROM e""",
+)
 def json_extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = '{"criteria": {"a": {"score": "yes", "evidence": "e"}, "b": {"score": "NO", "evidence": ""}}, "overall_assessment": "x", "strengths": [], "improvements": ["y"]}'
-    answers = [good, f"Sure:\n```json\n{good}\n```", f"```\n{good}\n```", f"text {{not json}} then {good} and more", '{"criteria": {', "", good.replace("yes", "perhaps"), '{"criteria": {}}', "[1, 2]"]
-    docs = base.table(spark, sf_dir, "documents").select("doc_id", base.pick(answers, F.col("doc_id")).alias("answer"))
-    return verdicts.parse_answers(docs, ["a", "b"]).select("doc_id", "error", F.size("missing_keys").alias("n_missing"), F.col("evaluation.criteria")["a"]["score"].alias("a_score"))
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.replace(base.pick(_ANSWERS, F.col("doc_id")), F.lit("%s"), said).alias("answer"))
+    first = F.col("evaluation.criteria")["a"]
+    return verdicts.parse_answers(docs, ["a", "b"]).select("doc_id", "error", F.size("missing_keys").alias("n_missing"), verdicts.missing_note(F.col("missing_keys")).alias("note"), first["score"].alias("a_score"), first["evidence"].alias("evidence"))
 
 
 @query(

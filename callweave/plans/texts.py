@@ -19,10 +19,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents")
 
 
-@query("filler_removal", f"SELECT doc_id, regexp_replace({pick_sql(_TEXTS, 'doc_id')} || text, '\\b(um|uh|umm|uhh|hmm|hmmm|er|err|ah|ahh)\\b[,]?\\s*', '', 'gi') AS cleaned FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+# RE2 knows ASCII word boundaries alone, so the SQL splits a text into runs of word characters and others
+_WORD, _BLANK = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}", r"\t-\r\p{Z}\x{85}"
+_FILLER = "lower({}) IN (" + ", ".join(f"'{x}'" for x in rules.FILLERS) + ")"
+
+
+@query(
+    "filler_removal",
+    f"""SELECT doc_id, array_to_string(list_transform(t, lambda x, i: CASE WHEN {_FILLER.format('x')} THEN '' WHEN i > 1 AND {_FILLER.format('t[i - 1]')} THEN regexp_replace(x, '^,?[{_BLANK}]*', '') ELSE x END), '') AS cleaned
+FROM (SELECT doc_id, regexp_extract_all({pick_sql(_TEXTS, 'doc_id')} || text, '[{_WORD}]+|[^{_WORD}]+') AS t FROM documents)""",
+)
 def filler_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))  # RE2 knows ASCII word boundaries alone
-    return plain.select("doc_id", text.remove_fillers(F.concat(pick(_TEXTS, F.col("doc_id")), "text")).alias("cleaned"))
+    return _docs(spark, sf_dir).select("doc_id", text.remove_fillers(F.concat(pick(_TEXTS, F.col("doc_id")), "text")).alias("cleaned"))
 
 
 @query("whitespace_clean", f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({pick_sql(_TEXTS, 'doc_id')} || text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '  +', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS cleaned FROM documents")
@@ -35,9 +43,10 @@ def too_short_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.too_short(F.col("text")).alias("too_short"))
 
 
-@query("input_guard", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'empty' WHEN length(text) > 5000 THEN 'too_long' END AS error FROM documents")
+@query("input_guard", "SELECT doc_id, CASE WHEN t IS NULL OR NOT regexp_matches(t, '\\S') THEN 'empty' WHEN contains(t, chr(0)) THEN 'nul_bytes' WHEN length(t) > 5000 THEN 'too_long' END AS error FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' ' || chr(10) || chr(9) WHEN 1 THEN text || chr(0) ELSE text END AS t FROM documents)")
 def input_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = F.when(F.col("doc_id") % 7 == 0, " \n\t").otherwise(F.col("text"))
+    kind = F.col("doc_id") % 7
+    sent = F.when(kind == 0, " \n\t").when(kind == 1, F.concat("text", F.lit("\x00"))).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", text.input_error(sent, 5000).alias("error"))
 
 
@@ -61,15 +70,40 @@ def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "events").select("event_id", numbers.exact_round(v - 20, 1).alias("one"), numbers.exact_round(v / 8, 2).alias("two"), numbers.exact_round(v * 2, 0).alias("none"))
 
 
-@query("truncate_middle_out")
+_COST = r"CAST(floor(len(regexp_extract_all(x, '\S+')) * 1.8::DOUBLE) AS INT)"
+
+
+_MARK = rules.CUT_MARK.replace("\n", "' || chr(10) || '")
+_LINES = "array_to_string({}, chr(10))"
+
+
+@query(
+    "truncate_middle_out",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_replace(text, '[.,] ', chr(10), 'g'), '') AS x FROM documents),
+t AS (SELECT doc_id, x, {_COST} AS tokens, string_split(x, chr(10)) AS l FROM d),
+l AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM t WHERE tokens > 600),
+c AS (SELECT doc_id, i, {_COST} AS cost FROM l),
+s AS (SELECT doc_id, sum(cost) OVER (PARTITION BY doc_id ORDER BY i) AS up, sum(cost) OVER (PARTITION BY doc_id ORDER BY i DESC) AS down FROM c),
+e AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE up <= 174) AS head, count(*) FILTER (WHERE down <= 176) AS tail FROM s GROUP BY doc_id),
+g AS (SELECT *, greatest(0, total - tail - head) AS m, greatest(0, total - tail - head) // 2 AS mid FROM e),
+u AS (SELECT doc_id, cost, i - head - 1 AS pos, abs(i - head - 1 - mid) AS round, row_number() OVER (PARTITION BY doc_id ORDER BY abs(i - head - 1 - mid), i DESC) AS v FROM c JOIN g USING (doc_id) WHERE i > head AND i <= head + m),
+v AS MATERIALIZED (SELECT *, min(cost) OVER (PARTITION BY doc_id ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM u),
+r AS (SELECT doc_id, 0::BIGINT AS v, 0::BIGINT AS sum, 0::BIGINT AS round, false AS done, []::BIGINT[] AS kept FROM g
+  UNION ALL SELECT doc_id, n, CASE WHEN take THEN sum + cost ELSE sum END, round, done, CASE WHEN take THEN list_append(kept, pos) ELSE kept END
+  FROM (SELECT *, NOT done AND sum + cost <= 232 AS take FROM (
+    SELECT r.doc_id, v.v AS n, r.sum, v.cost, v.round, v.pos, r.kept, r.done OR (v.round > r.round AND r.sum >= 232) AS done FROM r JOIN v ON v.doc_id = r.doc_id AND v.v = r.v + 1 AND r.sum + v.least <= 232))),
+k AS (SELECT doc_id, list_sort(arg_max(kept, v)) AS kept FROM r GROUP BY doc_id),
+n AS (SELECT t.doc_id, tokens, g.doc_id IS NOT NULL AS truncated, len(l) AS total_lines, coalesce(head + len(kept) + tail, len(l)) AS kept_lines,
+    CASE WHEN g.doc_id IS NULL THEN x ELSE {_LINES.format('l[:head]')} || '{_MARK}' || CASE WHEN len(kept) > 0 THEN {_LINES.format('list_transform(kept, lambda a: l[head + a + 1])')} || '{_MARK}' ELSE '' END || {_LINES.format('l[total - tail + 1:]')} END AS text
+  FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id),
+f AS (SELECT *, {_COST.replace('(x,', '(text,')} AS final FROM n)
+SELECT doc_id, text, truncated, tokens AS original_tokens, final AS final_tokens, tokens - final AS removed_tokens, CASE WHEN truncated THEN {rnd('((tokens - final) / tokens * 100)', 1)} ELSE 0.0::DOUBLE END AS removed_percentage, kept_lines, total_lines FROM f""",
+)
 def truncate_middle_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = truncate.truncate(_docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[.,] ", "\n").alias("transcript")), 600)
     return out.select("doc_id", "cut.*")
 
 
-_COST = r"CAST(floor(len(regexp_extract_all(x, '\S+')) * 1.8::DOUBLE) AS INT)"
-
-
 @query(
     "truncate_start_end",
     f"""WITH l AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[.,] ', chr(10), 'g'), chr(10)) AS t FROM documents)),
@@ -99,12 +133,18 @@ def call_type_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CALLS = ["Agent: hi, my name is anna\nClient: my name is Bob\nAgent: this is CARL from sales", "Agent: I'm calling from x, my name is here", "agent: im Eve with us\nAgent: my name is eve", "Client: hello", "Agent: this is Tom calling. My name is Tim"]
-_NAMES = ["Anna,Carl", "", "Eve", "", "Tim,Tom"]
+_INTRO = [f"regexp_extract(x, '(?i){p}', 1)".replace("I'?m", "I''?m") for p in rules.NAME_INTRO]
+_NO_NAMES = ", ".join(f"'{n}'" for n in rules.NO_NAMES)
 
 
-@query("agent_names_ordered_distinct", f"SELECT doc_id, {pick_sql(_NAMES, 'doc_id')} AS names FROM documents")
+@query(
+    "agent_names_ordered_distinct",
+    f"""WITH l AS (SELECT doc_id, list_filter(string_split({pick_sql(_CALLS, 'doc_id')} || chr(10) || text, chr(10)), lambda x: starts_with(lower(x), 'agent:')) AS l FROM documents),
+n AS (SELECT doc_id, list_filter(flatten(list_transform(l, lambda x: [{", ".join(f"lower({i})" for i in _INTRO)}])), lambda n: n <> '' AND n NOT IN ({_NO_NAMES}) AND NOT (ends_with(n, 'ing') AND length(n) > 3)) AS n FROM l)
+SELECT doc_id, array_to_string(list_transform(list_filter(n, lambda x, i: list_position(n, x) = i), lambda x: upper(x[1]) || x[2:]), ',') AS names FROM n""",
+)
 def agent_names_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.agent_names(pick(_CALLS, F.col("doc_id"))), ",").alias("names"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.agent_names(F.concat(pick(_CALLS, F.col("doc_id")), F.lit("\n"), "text")), ",").alias("names"))
 
 
 _PATHS = ["/tmp/John Doe_2nd call.mp3", "plain.wav", "dir.d/no_suffix", "__a--b__.tar.gz", "x y  z.MP3", ".hidden"]
@@ -131,9 +171,9 @@ def stt_key_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.stt_cache_key(F.col("text").cast("binary"), "stt-x", True, 2, None).alias("key"))
 
 
-@query("prompt_render", "SELECT doc_id, 'Call type: First Call' || chr(10) || 'Lines: {lines} {' || replace(replace(substring(text, 1, 80) || '{x}', '{', '{{'), '}', '}}') || '} n=' || (doc_id % 9) AS prompt FROM documents")
+@query("prompt_render", "SELECT doc_id, 'Call type: First Call' || chr(10) || 'Lines: {lines} {' || replace(replace(text || '{x}', '{', '{{'), '}', '}}') || '} n=' || (doc_id % 9) AS prompt FROM documents")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = text.render("Call type: {kind}\nLines: {lines} {{{transcript}}} n={n}", {"kind": F.lit("First Call"), "transcript": F.concat(F.substring("text", 1, 80), F.lit("{x}")), "n": F.col("doc_id") % 9})
+    made = text.render("Call type: {kind}\nLines: {lines} {{{transcript}}} n={n}", {"kind": F.lit("First Call"), "transcript": F.concat("text", F.lit("{x}")), "n": F.col("doc_id") % 9})
     return _docs(spark, sf_dir).select("doc_id", made.alias("prompt"))
 
 
@@ -157,15 +197,15 @@ def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPELLED = ["D as in Denver, A as in Apple, N as in Nancy, Y for Yankee", "no spelling here", "A for Ann, B for Bob"]
 
 
-@query("spelled_pattern", f"SELECT doc_id, doc_id % 3 = 0 AS spelled FROM documents WHERE {pick_sql(_SPELLED, 'doc_id')} IS NOT NULL")
+@query("spelled_pattern", f"SELECT doc_id, regexp_matches(text || ' ' || {pick_sql(_SPELLED, 'doc_id')}, '(?i){rules.SPELLED}') AS spelled FROM documents")
 def spelled_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.spelled_out(pick(_SPELLED, F.col("doc_id"))).alias("spelled"))
+    return _docs(spark, sf_dir).select("doc_id", text.spelled_out(F.concat("text", F.lit(" "), pick(_SPELLED, F.col("doc_id")))).alias("spelled"))
 
 
 _HEADS = ["49443304", "FFFB9000", "52494646", "664C6143", "4F676753", "00000000", "FFF30102"]
 
 
-@query("magic_number_format", f"SELECT doc_id, ({['mp3', 'mp3', 'wav', 'flac', 'ogg', None, 'mp3']!r})[doc_id % 7 + 1] AS format FROM documents".replace("None", "NULL"))
+@query("magic_number_format", f"SELECT doc_id, CASE {' '.join(f"WHEN starts_with(h, '{magic}') THEN '{name}'" for magic, name in rules.MAGIC.items())} END AS format FROM (SELECT doc_id, ({pick_sql(_HEADS, 'doc_id')} || hex(encode(text)))[:8] AS h FROM documents)")
 def magic_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.unhex(pick(_HEADS, F.col("doc_id"))), F.col("text").cast("binary"))
     return _docs(spark, sf_dir).select("doc_id", text.audio_format(content).alias("format"))
@@ -192,6 +232,6 @@ def stt_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DATES = ["2024-01-05", "2031-01-01", "2024-13-01", "05.01.2024", "2023-02-29", "2024-02-29", "", "1999-9-9"]
 
 
-@query("date_guard", f"SELECT doc_id, ([true, false, false, false, false, true, false, true])[doc_id % 8 + 1] AS valid FROM documents WHERE {pick_sql(_DATES, 'doc_id')} IS NOT NULL")
+@query("date_guard", f"SELECT doc_id, coalesce(regexp_full_match(d, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') AND try_strptime(d, '%Y-%m-%d')::DATE <= DATE '2026-01-01', false) AS valid FROM (SELECT doc_id, {pick_sql(_DATES, 'doc_id')} AS d FROM documents)")
 def date_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.valid_date(pick(_DATES, F.col("doc_id")), F.lit("2026-01-01").cast("date")).alias("valid"))

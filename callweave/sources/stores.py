@@ -6,6 +6,7 @@ import json
 import os
 import socket
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -23,58 +24,91 @@ LLM_COLUMNS = [
 LLM_REQUIRED = ["criteria", "overall_assessment"]
 STT_REQUIRED = ["text", "raw_text"]
 
+_POINTER, _FIRST = "CURRENT", "v-0"
+
 
 class Store:
     """A table of results by key. put() appends; of a key's entries the newest counts.
 
-    compact() rewrites the table without what has expired, is an orphan or exceeds
-    max_entries; a rewrite goes to a new folder, so readers never see half of it.
+    The table is a folder of versions, and a small file that names the current one.
+    compact() writes a new version without what has expired, is an orphan or exceeds
+    max_entries, and then replaces that file in one step: readers see the old version or
+    the new one, whole, and a crash loses nothing. The version before stays for those that
+    still read it, until the next compact().
     """
 
     def __init__(self, spark: SparkSession, path: str, ttl_days: int, required: list[str], columns: list[str] | None = None, max_entries: int = 0):
         self.spark, self.path, self.ttl_days, self.required, self.columns, self.max_entries = spark, path, ttl_days, required, columns, max_entries
 
-    def _fs(self) -> tuple[Any, Any]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _path(self, name: str = "") -> Any:
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _fs(self) -> Any:
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def current(self) -> str:
+        """Folder of the version that counts."""
+        fs, pointer = self._fs(), self._path(_POINTER)
+        if not fs.exists(pointer):
+            return f"{self.path}/{_FIRST}"
+        stream = fs.open(pointer)
+        try:
+            return f"{self.path}/{bytes(stream.readAllBytes()).decode()}"
+        finally:
+            stream.close()
+
+    def _publish(self, version: str) -> None:
+        """Make a version the current one, by a rename that replaces."""
+        jvm, fs = self.spark._jvm, self._fs()
+        fresh, pointer = self._path(f"{_POINTER}-{version}"), self._path(_POINTER)
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        uri = fs.makeQualified(pointer).toUri()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), overwrite)
 
     def exists(self) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path)
+        return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.current()))
 
     def put(self, rows: DataFrame) -> None:
         """Append rows (key, cached_at, ..), without columns that are not on the list."""
         keep = [c for c in rows.columns if c in ("key", "cached_at") or self.columns is None or c in self.columns]
-        rows.select(*keep).write.mode("append").parquet(self.path)
+        rows.select(*keep).write.mode("append").parquet(self.current())
 
     def entries(self, as_of: Any) -> DataFrame:
         """Live entries, one per key."""
-        rows = cache.live(self.spark.read.parquet(self.path), as_of, self.ttl_days, self.required)
+        rows = cache.live(self.spark.read.parquet(self.current()), as_of, self.ttl_days, self.required)
         columns = rows.columns
         newest = rows.groupBy("key").agg(F.max_by(F.struct(*columns), "cached_at").alias("row"))
         return newest.select("row.*")
 
     def size(self) -> int:
-        return self.spark.read.parquet(self.path).select("key").distinct().count() if self.exists() else 0
+        return self.spark.read.parquet(self.current()).select("key").distinct().count() if self.exists() else 0
 
     def compact(self, as_of: Any, current: DataFrame | None = None) -> int:
-        """Rewrite the table with what is still of use; returns the number of entries."""
-        rows = cache.newest(self.entries(as_of), self.max_entries)
+        """Rewrite the table with what is still of use; returns the number of entries.
+
+        Orphans go first, so that they take no place of the max_entries that stay.
+        """
+        rows = self.entries(as_of)
         if current is not None:
             rows = rows.join(current.select("key").distinct(), "key", "left_semi")
-        fs, path = self._fs()
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.new")
-        rows.write.mode("overwrite").parquet(f"{self.path}.new")
-        fs.delete(path, True)
-        fs.rename(fresh, path)
+        old, version = self.current().rsplit("/", 1)[1], f"v-{uuid.uuid4().hex}"
+        cache.newest(rows, self.max_entries).write.parquet(f"{self.path}/{version}")
+        self._publish(version)
+        fs = self._fs()
+        for status in fs.listStatus(self._path()):
+            if status.isDirectory() and status.getPath().getName() not in (old, version):
+                fs.delete(status.getPath(), True)
         return self.size()
 
     def clear(self, dry_run: bool = False) -> int:
         """Delete the table; with dry_run only say how many entries would go."""
         n = self.size()
         if not dry_run and self.exists():
-            fs, path = self._fs()
-            fs.delete(path, True)
+            self._fs().delete(self._path(), True)
         return n
 
 

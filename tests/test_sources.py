@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 
@@ -5,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import text
-from callweave.operators import cache, calls
-from callweave.sources import readers, writers
+from callweave.operators import cache, calls, verdicts
+from callweave.sources import readers, stores, writers
 from callweave.streaming import metrics
 
 
@@ -134,3 +135,37 @@ def test_text_edges(spark):
     assert [r.n for r in rows] == [0, 0, 0, 3]
     assert [r.c for r in rows] == ["", "", "", "a\xa0b c"]
     assert all(r.s for r in rows) and [r.e for r in rows] == ["empty"] * 3 + [None]
+
+
+def test_hostile_answers_are_no_json():
+    """Deep nesting and endless numbers end no run."""
+    for answer in ("[" * 200_000, '{"a":' * 100_000, "9" * 5000, '{"a": ' + "9" * 5000 + "}", "```json\n" + "[" * 50_000 + "\n```"):
+        assert verdicts.find_json(answer) is None
+    assert verdicts.find_json("x " + "9" * 5000 + ' {"a": 1}') == {"a": 1}
+
+
+def test_missing_keys_are_named(spark):
+    df = spark.createDataFrame([(list("abcdefg"),), (["a", "b"],), ([],)], "missing array<string>")
+    assert [r[0] for r in df.select(verdicts.missing_note(F.col("missing"))).collect()] == ["Missing criteria: a, b, c, d, e and 2 more", "Missing criteria: a, b", None]
+
+
+def test_ranges_drop_repeats(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, 3), (4, 4)], "id int, day int")
+    got = calls.read_ranges([(1, 2), (3, 4)], lambda a, b: rows.where(F.col("day").between(a - 1, b)))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_compact_replaces_the_table_in_one_step(spark, tmp_path):
+    at = datetime.datetime(2024, 5, 1)
+    now = F.lit(at)
+    store = stores.Store(spark, str(tmp_path / "s"), 30, ["v"], max_entries=2)
+    store.put(spark.createDataFrame([(f"k{i}", at - datetime.timedelta(days=i), i) for i in range(5)], "key string, cached_at timestamp, v int"))
+    before = store.current()
+    reader = store.entries(now)
+    live = spark.createDataFrame([("k3",), ("k4",), ("k9",)], "key string")
+    assert store.compact(now, live) == 2  # orphans go before the limit counts
+    assert {r.key for r in store.entries(now).collect()} == {"k3", "k4"}
+    assert store.current() != before and {r.key for r in reader.collect()} == {f"k{i}" for i in range(5)}  # who reads the old version still can
+    assert store.compact(now) == 2 and store.compact(now) == 2
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir())[-1].startswith("v-")
+    assert store.clear() == 2 and not store.exists()
