@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import struct
 import zlib
@@ -152,7 +153,15 @@ def test_digests(spark):
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         media = jpeg.store(payload)
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), jpeg.feature(jpeg.decode(media)))
+        assert bytes(r.media) == media and jpeg.load(media) == payload
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        rgb = jpeg.decode(media)
+        assert (r.height, r.width, 3) == rgb.shape and bytes(r.rgb) == rgb.tobytes()
+        pixels = [[tuple(int(v) for v in bytes(r.rgb)[3 * (y * r.width + x) :][:3]) for x in range(r.width)] for y in range(r.height)] if len(raw) < 2000 else None
+        if pixels:
+            sums = [sum(p[c] for row in pixels for p in row) for c in range(3)]
+            steps = sum(abs(a[1] - b[1]) for row in pixels for a, b in itertools.pairwise(row))
+            assert r.feature == ":".join(map(str, (r.height, r.width, *sums, steps)))
     assert rows[2].media_sha256 == rows[6].media_sha256
     assert jpeg.digests(df.limit(0)).count() == 0
 
