@@ -61,10 +61,32 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running results of op (sum or greatest, from 0) over an array of numbers.
+
+    An array grows by copies, so the array is cut into blocks of its square root: each block
+    is carried on from the result of all before it, and no long array is copied often.
+    """
+
+    def grown(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda s, v: F.struct(op(s["at"], v).alias("at"), F.concat(s["out"], F.array(op(s["at"], v))).alias("out")), lambda s: s["out"])
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), op))
+        return _let(grown(totals, F.lit(0)), lambda upto: F.flatten(F.transform(parts, lambda p, k: grown(p, F.when(k > 0, F.get(upto, k - 1)).otherwise(0)))))
+
+    def cut(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.when(F.size(v) > 0, _let(F.transform(F.sequence(F.lit(0), F.size(v) - 1, size), lambda i: F.slice(v, i + 1, size)), joined)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, cut)
+
+
 def _spans(text: Column, rank: int, kind: tuple, weak: bool) -> Column:
     """All matches of a kind as an array of spans, leftmost first, failing ones dropped.
 
-    split() gives the text between the matches, so starts are running sums of lengths.
+    split() gives the text between the matches, so ends are running sums of lengths.
     """
     name, part, pattern, _, group, least, most, literals = kind
     pieces = F.zip_with(
@@ -73,21 +95,36 @@ def _spans(text: Column, rank: int, kind: tuple, weak: bool) -> Column:
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("n"), (F.length(F.regexp_extract(match, pattern, group)) if group else F.length(match)).alias("size")),
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + piece["gap"]
-        end = start + piece["n"]
-        fits = piece["size"] >= least
-        if most:
-            fits = fits & (piece["size"] <= most)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(name).alias("kind"), F.lit(part).alias("part"), F.lit(weak).alias("weak"))
-        return F.struct(end.alias("at"), F.when(fits, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    none = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
-    found = F.aggregate(F.filter(pieces, lambda p: p["n"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p, lambda x: x["gap"] + x["n"]), lambda x, y: x + y)
+        spans = F.zip_with(p, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(name).alias("kind"), F.lit(part).alias("part"), F.lit(weak).alias("weak"), x["size"].alias("size")))
+        fits = lambda x: (x["size"] >= least) & (x["size"] <= most) if most else x["size"] >= least
+        return F.transform(F.filter(spans, fits), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "part", "weak")]))
+
     there = text.rlike(pattern)
     if literals:
         there = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in literals]) & there
-    return F.when(there, found).otherwise(none)
+    return F.when(there, _let(F.filter(pieces, lambda p: p["n"].isNotNull()), placed)).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.from_json(F.lit("[]"), f"array<{_SPAN}>")
+
+
+def _apart(strong: Column, weak: Column) -> Column:
+    """The weak spans that overlap no strong one.
+
+    Starts of strong spans and ends of weak ones are sorted together. The greatest end of
+    the strong spans so far is, at a weak span's end, that of all that start before it.
+    """
+
+    def among(events: Column) -> Column:
+        ends = _running(F.transform(events, lambda e: e["upto"]), lambda x, y: F.greatest(x, y))
+        return F.transform(F.filter(F.zip_with(events, ends, lambda e, end: F.struct(e.alias("e"), end.alias("end"))), lambda z: z["e"]["span"].isNotNull() & (z["end"] <= z["e"]["span"]["start"])), lambda z: z["e"]["span"])
+
+    starts = F.transform(strong, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("turn"), s["end"].alias("upto"), F.lit(None).cast(_SPAN).alias("span")))
+    ends = F.transform(weak, lambda w: F.struct(w["end"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("upto"), w.alias("span")))
+    return F.when((F.size(strong) > 0) & (F.size(weak) > 0), _let(F.array_sort(F.concat(starts, ends)), among)).otherwise(weak)
 
 
 def _linked(spans: Column) -> Column:
@@ -111,8 +148,34 @@ def _is(value: str) -> Callable[[Column], Column]:
     return lambda x: x == value
 
 
+def _named(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["start"], span["end"])
+
+
 def _line(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, _named), ",")
+
+
+def _credentials(spans: Column) -> Column:
+    """secret+id or secret+id+endpoint of each secret that has an id in scope: the nearest
+    of each, of two as near the one that comes first."""
+
+    def nearest(all_: Column, s: Column, i: Column, part: str) -> Column:
+        around = F.filter(F.slice(all_, F.greatest(i + 1 - REACH, F.lit(1)), F.lit(2 * REACH + 1)), lambda o: (o["part"] == part) & (F.abs(o["start"] - s["start"]) <= SCOPE))
+        return _named(F.array_min(F.transform(around, lambda o: F.struct(F.abs(o["start"] - s["start"]).alias("far"), *[o[c].alias(c) for c in ("start", "rank", "end", "kind")]))))
+
+    def there(all_: Column, s: Column, i: Column, part: str) -> Column:
+        return F.exists(F.slice(all_, F.greatest(i + 1 - REACH, F.lit(1)), F.lit(2 * REACH + 1)), lambda o: (o["part"] == part) & (F.abs(o["start"] - s["start"]) <= SCOPE))
+
+    def one(all_: Column) -> Callable[[Column, Column], Column]:
+        def line(s: Column, i: Column) -> Column:
+            endpoint = F.when(there(all_, s, i, "endpoint"), F.concat(F.lit("+"), nearest(all_, s, i, "endpoint"))).otherwise("")
+            return F.when((s["part"] == "secret") & there(all_, s, i, "id"), F.concat(_named(s), F.lit("+"), nearest(all_, s, i, "id"), endpoint)).otherwise("")
+
+        return line
+
+    found = _let(spans, lambda all_: F.filter(F.transform(all_, one(all_)), lambda x: x != ""))
+    return F.when(F.exists(spans, lambda s: s["part"] == "id") & F.exists(spans, lambda s: s["part"] == "secret"), F.array_join(found, ",")).otherwise("")
 
 
 def scan(df: DataFrame, column: str = "text", into: str = "found") -> DataFrame:
@@ -126,16 +189,21 @@ def scan(df: DataFrame, column: str = "text", into: str = "found") -> DataFrame:
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     strong = F.concat(*[_spans(text, i, k, False) for i, k in enumerate(STRONG)])
     weak = F.concat(*[_spans(text, len(STRONG) + i, k, True) for i, k in enumerate(WEAK)])
-    both = _let(strong, lambda s: F.concat(s, F.filter(weak, lambda w: ~F.exists(s, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"])))))
+    both = _let(F.array_sort(strong), lambda s: F.concat(s, _let(weak, lambda w: _apart(s, w))))
     return df.withColumn(into, _linked(F.array_sort(both)))
 
 
 def report(df: DataFrame, column: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts of strong findings, the digest of their list, and the list of all findings."""
+    """Counts of strong findings, the digest of their list, the list of all findings, and
+    which of them make a credential together.
+
+    A null text counts as empty and has no findings; repeated rows give repeated results,
+    an empty table gives no rows. Spans that start together are in the order of kinds.
+    """
     found = scan(df.select(*keys, F.col(f"`{column}`").alias("_text")), "_text", "_found").drop("_text")
     base = F.filter("_found", lambda s: ~s["weak"])
     counts = [F.size(F.filter(F.transform("_found", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select(*keys, *counts, F.sha2(_line(base).cast("binary"), 256).alias("base_sha256"), _line(F.col("_found")).alias("spans"))
+    return found.select(*keys, *counts, F.sha2(_line(base).cast("binary"), 256).alias("base_sha256"), _line(F.col("_found")).alias("spans"), _credentials(F.col("_found")).alias("credentials"))
 
 
 def oracle_sql() -> str:
@@ -155,9 +223,14 @@ def oracle_sql() -> str:
     def near(part: str) -> str:
         return f"EXISTS (FROM f o WHERE o.doc_id = f.doc_id AND o.part = '{part}' AND abs(o.start - f.start) <= {SCOPE})"
 
+    def nearest(part: str) -> str:
+        return f"SELECT s.doc_id, s.span, arg_min(o.span, (abs(o.start - s.start), o.start, o.rank)) AS near FROM k s JOIN k o ON o.doc_id = s.doc_id AND s.part = 'secret' AND o.part = '{part}' AND abs(o.start - s.start) <= {SCOPE} GROUP BY s.doc_id, s.span"
+
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS ({" UNION ALL ".join(found)}),
 f AS (SELECT * FROM c WHERE rank < {n} OR NOT EXISTS (FROM c s WHERE s.doc_id = c.doc_id AND s.rank < {n} AND s.start < c.stop AND c.start < s.stop)),
-k AS (SELECT *, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM f WHERE rank < {n} OR CASE part WHEN 'id' THEN {near("secret")} WHEN 'secret' THEN {near("id")} ELSE {near("secret")} AND {near("id")} END)
+k AS (SELECT *, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM f WHERE rank < {n} OR CASE part WHEN 'id' THEN {near("secret")} WHEN 'secret' THEN {near("id")} ELSE {near("secret")} AND {near("id")} END),
+i AS ({nearest("id")}), e AS ({nearest("endpoint")}),
+p AS (SELECT k.doc_id, string_agg(k.span || '+' || i.near || coalesce('+' || e.near, ''), ',' ORDER BY k.start, k.rank) AS credentials FROM k JOIN i ON i.doc_id = k.doc_id AND i.span = k.span LEFT JOIN e ON e.doc_id = k.doc_id AND e.span = k.span GROUP BY k.doc_id)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {n}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
-FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {n}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans, coalesce(any_value(credentials), '') AS credentials
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id"""
