@@ -105,8 +105,8 @@ def signatures(df: DataFrame, id_column: str, column: str) -> DataFrame:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(key, text_hash, n) of the blocks of rows (text_hash, n, keys): every pair of near copies meets in one."""
-    keyed = rows.where("keys is not null").select(F.explode("keys").alias("key"), F.col("text_hash").alias("id"), F.col("n").alias("pos"))
-    shared = materialise(repeated(keyed).distinct().select("key", F.col("id").alias("text_hash"), F.col("pos").alias("n")), "shared")
+    keyed = rows.where("keys is not null").select(F.explode("keys").alias("key"), F.col("text_hash").alias("id"), F.col("n").cast("long").alias("pos"))
+    shared = materialise(repeated(keyed).distinct().select("key", F.col("id").alias("text_hash"), F.col("pos").cast("int").alias("n")), "shared")
     heat = materialise(shared.groupBy("key").agg(F.count("*").alias("heat")), "heat")
     ranked = shared.join(heat, "key").withColumn("rank", F.row_number().over(W.partitionBy("text_hash").orderBy(F.desc("heat"), "key")))
     return materialise(ranked.where(F.col("rank") > _ignored(F.col("n"))).select("key", "text_hash", "n"), "candidates")

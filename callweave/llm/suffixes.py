@@ -4,17 +4,19 @@ Of each text only the suffixes at minimiser positions are kept: of every WINDOW
 neighbouring five-word groups the one of the least hash. Equal passages select equal
 positions, and a passage of MIN_WORDS words has one among its first WINDOW words. So two
 texts that share a passage share a kept suffix with at least MIN_WORDS - WINDOW + 1 equal
-words after it. The suffixes are sorted by the hash of that prefix, over the whole
-corpus, and compared with their neighbours: those that stand beside an equal prefix of
-another text are matches. The matches are extended: around each, all places to its left
-that may start a passage are tried, whole passages of MIN_WORDS words are sorted and
-compared in the same way, and passages that overlap are merged to the left and right. The
-result is exact: a word is covered if, and only if, it lies in a passage of MIN_WORDS
-words that another text has too. Equal texts are one text until the end.
-
-Sorting splits a hot passage over many tasks. A task knows the neighbours of all its rows
-but those of its first and last value; of these each task has two at most, so they are
-settled by a broadcast of fixed size.
+words after it. The suffixes are sorted by a hash of that prefix, over the whole corpus,
+and compared with their neighbours: those that stand beside an equal prefix of another
+text are matches. A match is extended to both sides at once: the places up to WINDOW - 1
+words to its left that may start a passage are tried, each with the words on the right
+that complete it, and these passages are sorted and compared with their neighbours in the
+same way. Passages that overlap are merged. A word is covered if, and only if, it lies in a
+passage of MIN_WORDS words that another text has too; equal texts are one text until the
+end. Words are compared by hashes, passages by two independent ones with 96 bits together,
+texts by one of 64 bits.
+
+Sorting splits a hot passage over many tasks. A task reads its rows as a stream and knows
+the neighbours of all but those of its first and last value; of these each task has two at
+most, so they are settled by a broadcast of fixed size.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, small_enough
@@ -33,8 +36,8 @@ from .common import bounded_batches, materialise, small_enough
 MIN_WORDS = 50
 GROUP, WINDOW = 5, 16
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of two independent hashes of runs of words.
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 @lru_cache(8)
@@ -52,15 +55,15 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A hash of each run of `size` words, by differences of prefix sums modulo 2^64."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     room = 1 << len(words).bit_length()  # few sizes, so that powers are kept
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _powers(_BASE, room)[: len(words)], dtype=np.uint64, out=sums[1:])
-    x = (sums[size:] - sums[:n]) * _powers(_INVERSE, room)[:n]
+    np.cumsum(words * _powers(base, room)[: len(words)], dtype=np.uint64, out=sums[1:])
+    x = (sums[size:] - sums[:n]) * _powers(pow(base, -1, 1 << 64), room)[:n]
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)  # the low bits alone are weak
     return x ^ x >> np.uint64(32)
 
@@ -83,15 +86,16 @@ def kept_suffixes(words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray
 
 
 def passages_near(words: np.ndarray, at: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the passages of `least` words that reach left over a match
-    by less than a window."""
+    """Starts, with 32 bits of a second hash above them, and hashes of the passages of `least`
+    words that reach left over a match by less than a window."""
     hashes = window_hashes(words, least)
     starts = np.unique((np.asarray(at, np.int64)[:, None] - np.arange(WINDOW)[None, :]).ravel())
     starts = starts[(starts >= 0) & (starts < len(hashes))]
-    return starts, hashes[starts]
+    check = window_hashes(words, least, _OTHER)[starts] & np.uint64(0x7FFFFFFF)
+    return starts | check.astype(np.int64) << 32, hashes[starts]
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())])
+_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64())])
 
 
 def _rows(df: DataFrame, make) -> DataFrame:
@@ -112,7 +116,7 @@ def _rows(df: DataFrame, make) -> DataFrame:
                 at, keys = make(words, *values[2:])
                 n = len(at)
                 keys = pa.array(np.append(keys.view(np.int64), 0), mask=np.append(np.zeros(n, bool), True))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n + 1, values[0], np.int64)), pa.array(np.append(at, len(words)).astype(np.int32))], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n + 1, values[0], np.int64)), pa.array(np.append(at, len(words)).astype(np.int64))], schema=_ROWS)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -125,10 +129,10 @@ def _rows(df: DataFrame, make) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return df.mapInArrow(grouped, "key long, id long, pos int")
+    return df.mapInArrow(grouped, "key long, id long, pos long")
 
 
-_MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("state", pa.int32())])
+_MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("state", pa.int32())])
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +177,10 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows (key long, id long, pos int) whose key another id has too. rows is read twice."""
+    """The rows (key long, id long, pos long) whose key another id has too. rows is read twice."""
     ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "pos")
     bounded_batches(rows.sparkSession)
-    marked = materialise(ordered.mapInArrow(_mark, "key long, id long, pos int, state int"), "marked")
+    marked = materialise(ordered.mapInArrow(_mark, "key long, id long, pos long, state int"), "marked")
     edges = marked.where("state = 2").select("key").distinct()  # two a task at most
     whole = marked.join(F.broadcast(edges), "key", "left_semi").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     met = marked.where("state = 2").join(F.broadcast(whole), "key", "left_semi")
@@ -190,7 +194,8 @@ def passages(df: DataFrame, id_column: str = "doc_id", column: str = "text", lea
     exclusive, and first: the smallest id that has one of the span's passages). A text that
     several documents have is repeated as a whole if it is long enough. Null ids are
     ignored for `first`, which is null if no other is there; repeated rows that share id
-    and text count as one document. Null and short texts give no row.
+    and text count as one document. Null and short texts give no row, nor does an empty
+    table; other columns of df are ignored.
     """
     docs = df.select(F.col(id_column).alias("doc"), F.xxhash64(column).alias("id"), F.col(column).alias("text"))
     classes = materialise(docs.where("text is not null").select("doc", "id").distinct(), "documents")
@@ -202,21 +207,17 @@ def passages(df: DataFrame, id_column: str = "doc_id", column: str = "text", lea
     side = F.broadcast(places) if small_enough(places) else places
     around = docs.join(side, "id").select("id", "text", "at")
     tried = materialise(_rows(around, lambda words, at: passages_near(words, at, least)), "passages")
-    found = materialise(repeated(tried.where("key is not null")).distinct(), "repeated")
+    found = repeated(tried.where("key is not null")).select("key", F.shiftright("pos", 32).alias("check"), "id", F.col("pos").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+    found = materialise(found.distinct(), "repeated")
 
-    firsts = found.select("key", "id").distinct().join(texts.select("id", "least"), "id").groupBy("key").agg(F.min("least").alias("first"))
-    firsts = materialise(firsts, "firsts")  # as a table of its own, the join below can split a hot key
-    starts = found.join(firsts, "key").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "first"))).alias("starts"))
+    firsts = found.select("key", "check", "id").distinct().join(texts.select("id", "least"), "id").groupBy("key", "check").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    firsts = materialise(firsts.where("n > 1").drop("n"), "firsts")  # as a table of its own, the join below can split a hot key
     span = "array<struct<start:int,end:int,first:bigint>>"
-
-    def merge(spans, start):
-        last = F.element_at(spans, -1)
-        fresh = F.struct(start["pos"].alias("start"), (start["pos"] + least).cast("int").alias("end"), start["first"].alias("first"))
-        grown = F.struct(last["start"].alias("start"), fresh["end"].alias("end"), F.least(last["first"], fresh["first"]).alias("first"))
-        joins = (F.size(spans) > 0) & (F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(-1)) >= start["pos"])
-        return F.when(joins, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(grown))).otherwise(F.concat(spans, F.array(fresh)))
-
-    spans = starts.select("id", F.aggregate("starts", F.array().cast(span), merge).alias("spans"))
+    by = W.partitionBy("id").orderBy("pos")
+    begins = F.when(F.col("pos") - F.lag("pos").over(by) <= least, 0).otherwise(1)
+    islands = found.join(firsts, ["key", "check"]).withColumn("begins", begins).withColumn("island", F.sum("begins").over(by))
+    islands = islands.groupBy("id", "island").agg(F.min("pos").alias("start"), (F.max("pos") + least).cast("int").alias("end"), F.min("first").alias("first"))
+    spans = islands.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("spans"))
     sizes = kept.where("key is null").groupBy("id").agg(F.max("pos").alias("n_words"))
     each = texts.join(sizes, "id").join(spans, "id", "left")
     copied = (F.col("n") > 1) & (F.col("n_words") >= least)

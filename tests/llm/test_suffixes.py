@@ -134,7 +134,7 @@ def test_runs_are_marked_batch_by_batch():
         batches, at = [], 0
         while at < n or rng.random() < 0.1:
             k = rng.randint(0, 5)
-            batches.append(pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + k]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=names))
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + k]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64()))], names=names))
             at += k
         found = sorted(tuple(r.values()) for b in suffixes._mark(iter(batches)) for r in b.to_pylist())
         ids = defaultdict(set)
