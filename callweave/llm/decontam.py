@@ -2,7 +2,8 @@
 
 A text becomes its words in lower case, with numbers (figures and number words), names
 (capitalised words, wherever they stand: a word's own form decides, so that a passage reads
-the same in each surrounding) and units replaced by typed placeholders. Windows of five
+the same in each surrounding) and units replaced by typed placeholders. An item is also read
+without names, for documents that are in capitals or in small letters throughout. Windows of five
 such words are hash-joined with those of the benchmark items. Hits on one diagonal
 (position in the document less position in the item) must have consistent slots: one value
 of the item answers to one value of the document throughout, and the other way round; hits
@@ -48,16 +49,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _words(text: Column, make: Callable[[Column, Column], Column]) -> Column:
+def _words(text: Column, make: Callable[[Column, Column], Column], names: bool = True) -> Column:
     """An array of make(class, lower-case word) of the words of a text; the class of a word
-    that is no slot is the word."""
+    that is no slot is the word. Without names, capitals tell nothing."""
     figure = lambda x: (x >= "0") & (x < ":")
 
     def typed(raw: Column, low: Column) -> Column:
         def one(word: Column, i: Column) -> Column:
             x = F.get(raw, i)
             after = lambda: (i > 0) & figure(F.get(raw, i - 1))
-            name = (x != word) & (F.length(x) > 1) & (F.substr(x, F.lit(2)) == F.substr(word, F.lit(2)))
+            name = F.lit(names) & (x != word) & (F.length(x) > 1) & (F.substr(x, F.lit(2)) == F.substr(word, F.lit(2)))
             kind = F.when(figure(word) | word.isin(NUMBERS), F.lit(_NUMBER)).when(word.isin(UNITS) | (word.isin(SHORT_UNITS) & after()), F.lit(_UNIT)).when(name, F.lit(_NAME))
             return make(kind.otherwise(word), word)
 
@@ -67,9 +68,9 @@ def _words(text: Column, make: Callable[[Column, Column], Column]) -> Column:
     return _let(raw, lambda raw: _let(F.transform(raw, F.lower), lambda low: typed(raw, low)))
 
 
-def _slots(text: Column) -> Column:
+def _slots(text: Column, names: bool = True) -> Column:
     """Array of (c: word or placeholder, s: the value of a slot, else '')."""
-    return _words(text, lambda kind, word: F.struct(kind.alias("c"), F.when(kind == word, "").otherwise(word).alias("s")))
+    return _words(text, lambda kind, word: F.struct(kind.alias("c"), F.when(kind == word, "").otherwise(word).alias("s")), names)
 
 
 def _hashed(words: Column, size: int) -> Column:
@@ -106,14 +107,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equally often the first by name stands. n_slots and n_changed count the distinct slot
     values of the item that were met, and those that the document has replaced.
     """
-    items = benchmark.where("text is not null").select("item_id", _slots(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    asked = benchmark.where("text is not null")
+    items = reduce(DataFrame.union, [asked.select("item_id", _slots(F.col("text"), names).alias("_words")) for names in (True, False)]).where(F.size("_words") > 0)
     items = materialise(items.select("item_id", "_words", F.size("_words").alias("n")), "items")
     sizes = sorted(r.k for r in items.select(F.least("n", F.lit(WINDOW)).alias("k")).distinct().collect())
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     parts = []
     for k in sizes or [WINDOW]:
         own = items.where(F.least("n", F.lit(WINDOW)) == k)
-        grid = materialise(_windows(own, ["item_id", "n"], k).select("item_id", "n", F.col("at").alias("q"), "h", F.col("v").alias("iv")), "item-windows")
+        grid = materialise(_windows(own, ["item_id", "n"], k).select("item_id", "n", F.col("at").alias("q"), "h", F.col("v").alias("iv")).distinct(), "item-windows")
         seeds = materialise(_seeds(grid), "seeds")
         hashes = _hashed(_words(F.col("text"), lambda kind, _: F.xxhash64(kind)), k)
         seen = rows.select("doc_id", "text_hash", F.explode(hashes).alias("h")).join(F.broadcast(seeds) if small_enough(seeds) else seeds, "h", "left_semi")
@@ -182,12 +184,12 @@ def oracle_sql() -> str:
   SELECT {key}, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS x, len(t) AS n
   FROM (SELECT {key}, regexp_extract_all(text, '{_TOKEN}') AS t FROM {table} WHERE text IS NOT NULL)"""
 
-    def typed(source: str, key: str) -> str:
+    def typed(source: str, key: str, names: str = "true") -> str:
         return f"""
   SELECT {key}, pos, n, CASE WHEN num THEN '{_NUMBER}' WHEN unit THEN '{_UNIT}' WHEN name THEN '{_NAME}' ELSE l END AS c, CASE WHEN num OR unit OR name THEN l ELSE '' END AS s
   FROM (SELECT *, lower(x) AS l, (x >= '0' AND x < ':') OR lower(x) IN ({listed(NUMBERS)}) AS num,
           lower(x) IN ({listed(UNITS)}) OR (lower(x) IN ({listed(SHORT_UNITS)}) AND coalesce(lag(x >= '0' AND x < ':') OVER (PARTITION BY {key} ORDER BY pos), false)) AS unit,
-          x <> lower(x) AND length(x) > 1 AND substr(x, 2) = substr(lower(x), 2) AS name
+          {names} AND x <> lower(x) AND length(x) > 1 AND substr(x, 2) = substr(lower(x), 2) AS name
         FROM {source})"""
 
     def windows(source: str, key: str) -> str:
@@ -199,8 +201,8 @@ def oracle_sql() -> str:
     on = " AND ".join(f"d.c{k} = i.c{k}" for k in range(WINDOW))
     return f"""
 WITH dw AS ({words("documents", "doc_id")}), iw AS ({words("benchmark", "item_id")}),
-dt AS ({typed("dw", "doc_id")}), it AS ({typed("iw", "item_id")}),
-dg AS ({windows("dt", "doc_id")}), ig AS ({windows("it", "item_id")}),
+dt AS ({typed("dw", "doc_id")}), it AS ({typed("iw", "item_id")}), iu AS ({typed("iw", "item_id", "false")}),
+dg AS ({windows("dt", "doc_id")}), ig AS ({windows("it", "item_id")} UNION {windows("iu", "item_id")}),
 hits AS (SELECT doc_id, item_id, i.n, d.pos - i.pos AS diagonal, i.pos AS q, i.v AS iv, d.v AS dv, i.v = d.v AS unchanged FROM dg d JOIN ig i ON {on}),
 pairs AS (SELECT doc_id, item_id, diagonal, unnest(iv) AS i, unnest(dv) AS d FROM hits),
 slots AS (SELECT doc_id, item_id, diagonal, count(DISTINCT i) AS ni, count(DISTINCT d) AS nd, count(DISTINCT (i, d)) AS np FROM pairs WHERE i <> '' GROUP BY ALL),

@@ -18,7 +18,9 @@ def items(spark, texts):
     ("text", "leaks"),
     [
         (ITEM, True),
-        ("Before. " + ITEM.upper() + " after", False),  # names need their case
+        ("BEFORE. " + ITEM.upper() + " AFTER", True),
+        (ITEM.lower(), True),
+        ("BEFORE. " + ITEM.upper().replace("PARIS", "ROME").replace("BONN", "OSLO"), False),  # new names need their case
         ("Before. " + ITEM.upper().replace("PARIS", "Paris").replace("BONN", "Bonn") + " after", True),
         ("Note: " + ITEM.replace("Paris", "Rome").replace("Bonn", "Oslo").replace("60", "45").replace("80", "33") + "!!!", True),
         (ITEM.replace("after 60", "after 99"), True),  # all but the end word for word
