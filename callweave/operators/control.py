@@ -1,18 +1,49 @@
 """Ordered run controls: cut-offs over a sequence, and provider fallback.
 
-Each works on runs: rows of one run are ordered by a sequence column, runs are
-independent, so the windows are partitioned by run.
+Each works on runs: rows of one run are ordered by a sequence column, in which no value
+occurs twice. A run may be very long, so no task needs to hold one: running values are
+built from blocks of a run and what the blocks before carry over, and cut-offs from the
+least sequence value of a run, which is pre-aggregated.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Sequence values that a block of a run spans.
+BLOCK = 1 << 16
+
+
+def _with(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the further columns of side, where its keys are equal (nulls too)."""
+    named = side.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in side.columns if c not in keys])
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(named[f"_on_{k}"]) for k in keys])
+    return rows.join(named, same, "left").drop(*[f"_on_{k}" for k in keys])
+
 
-def _upto(run: str, seq: str, before: bool = False) -> object:
-    return W.partitionBy(run).orderBy(seq).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+def running(rows: DataFrame, values: dict[str, tuple[Column, str]], run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """rows and, by name, the running sum or max of values over each run, a row's own included.
+
+    A sequence of numbers or times is cut into blocks of BLOCK; one of another type is one block.
+    """
+    kind = rows.schema[seq].dataType.typeName()
+    number = F.col(seq).cast("timestamp").cast("long") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(seq).cast("long")
+    block = F.floor(number / BLOCK) if kind not in ("string", "struct", "array", "binary", "boolean") else F.lit(0)
+    over = {"sum": F.sum, "max": F.max}
+    marked = rows.withColumn("_block", block)
+    totals = marked.groupBy(run, "_block").agg(*[over[how](value).alias(f"_c_{name}") for name, (value, how) in values.items()])
+    before = W.partitionBy(run).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(run, "_block", *[over[how](f"_c_{name}").over(before).alias(f"_c_{name}") for name, (_, how) in values.items()])
+    inside = W.partitionBy(run, "_block").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    out = _with(marked, carried, [run, "_block"])
+    for name, (value, how) in values.items():
+        own, past = over[how](value).over(inside), F.col(f"_c_{name}")
+        out = out.withColumn(name, F.coalesce(own + past, own, past) if how == "sum" else F.greatest(own, past))
+    return out.drop("_block", *[f"_c_{name}" for name in values])
 
 
 def circuit_breaker(rows: DataFrame, failed: Column, reset: Column, limit: int = 3, run: str = "run_id", seq: str = "seq") -> DataFrame:
@@ -22,13 +53,18 @@ def circuit_breaker(rows: DataFrame, failed: Column, reset: Column, limit: int =
     nothing. The tripping row stands for the sentinel: `remaining` is the number of rows
     after it, which are cut off.
     """
-    upto = _upto(run, seq)
-    marked = rows.withColumn("_island", F.sum(F.when(reset & ~failed, 1).otherwise(0)).over(upto)).withColumn("_failed", F.when(failed, 1).otherwise(0))
-    inside = W.partitionBy(run, "_island").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    marked = marked.withColumn("failures", F.sum("_failed").over(inside)).withColumn("_trip", (F.col("_failed") == 1) & (F.col("failures") >= limit))
-    marked = marked.withColumn("_trips", F.coalesce(F.sum(F.col("_trip").cast("int")).over(_upto(run, seq, True)), F.lit(0)))
-    marked = marked.withColumn("remaining", F.count("*").over(W.partitionBy(run)) - F.row_number().over(W.partitionBy(run).orderBy(seq)))
-    return marked.where("_trips = 0").withColumn("tripped", F.col("_trip")).withColumn("remaining", F.when(F.col("_trip"), F.col("remaining"))).drop("_island", "_failed", "_trip", "_trips")
+    marked = rows.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_reset", F.coalesce(reset, F.lit(False)) & ~F.col("_failed"))
+    so_far = running(marked, {"_fails": (F.col("_failed").cast("long"), "sum"), "_place": (F.lit(1).cast("long"), "sum")}, run, seq)
+    since = running(so_far, {"_settled": (F.when(F.col("_reset"), F.col("_fails")), "max")}, run, seq)
+    counted = since.withColumn("failures", F.col("_fails") - F.coalesce("_settled", F.lit(0))).withColumn("tripped", F.col("_failed") & (F.col("failures") >= limit))
+    trips = counted.groupBy(run).agg(F.min(F.when(F.col("tripped"), F.struct(F.col(seq).alias("seq"), F.col("_place").alias("place")))).alias("_trip"), F.count("*").alias("_all"))
+    kept = _with(counted, trips, [run]).where(F.col("_trip").isNull() | (F.col(seq) <= F.col("_trip.seq")))
+    return kept.withColumn("remaining", F.when(F.col("tripped"), F.col("_all") - F.col("_trip.place"))).drop("_failed", "_reset", "_fails", "_place", "_settled", "_trip", "_all")
+
+
+def _spent(rows: DataFrame, cost: str, run: str, seq: str, fixed: Column | None = None) -> DataFrame:
+    out = running(rows, {"spent": (F.col(cost).cast("decimal(18,6)"), "sum")}, run, seq)
+    return out.withColumn("spent", F.col("spent").cast("double") + (fixed if fixed is not None else F.lit(0.0)))
 
 
 def budget_cutoff(rows: DataFrame, cost: str, budget: float, fixed: Column | None = None, warn_at: float = 0.8, run: str = "run_id", seq: str = "seq") -> DataFrame:
@@ -38,22 +74,21 @@ def budget_cutoff(rows: DataFrame, cost: str, budget: float, fixed: Column | Non
     each run has from the start. `warned` marks rows at or above warn_at of the budget.
     Costs are summed as decimals.
     """
-    total = F.sum(F.col(cost).cast("decimal(18,6)")).over(_upto(run, seq)).cast("double") + (fixed if fixed is not None else F.lit(0.0))
-    out = rows.withColumn("spent", total).withColumn("_over", F.max((F.col("spent") >= budget).cast("int")).over(_upto(run, seq)))
-    return out.where("_over = 0").drop("_over").withColumn("warned", F.col("spent") >= budget * warn_at)
+    out = _spent(rows, cost, run, seq, fixed)
+    ends = out.where(F.col("spent") >= budget).groupBy(run).agg(F.min(seq).alias("_end"))
+    return _with(out, ends, [run]).where(F.col("_end").isNull() | (F.col(seq) < F.col("_end"))).drop("_end").withColumn("warned", F.col("spent") >= budget * warn_at)
 
 
 def first_over(rows: DataFrame, cost: str, threshold: float = 0.5, run: str = "run_id", seq: str = "seq") -> DataFrame:
     """Of each run the first row at which the cost so far reaches the threshold."""
-    total = F.sum(F.col(cost).cast("decimal(18,6)")).over(_upto(run, seq)).cast("double")
-    out = rows.withColumn("spent", total).where(F.col("spent") >= threshold)
-    return out.withColumn("_n", F.row_number().over(W.partitionBy(run).orderBy(seq))).where("_n = 1").drop("_n")
+    out = _spent(rows, cost, run, seq).where(F.col("spent") >= threshold)
+    return out.groupBy(run).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), seq).alias("_row")).select("_row.*")
 
 
 def stop_after(rows: DataFrame, stop: Column, run: str = "run_id", seq: str = "seq") -> DataFrame:
     """Rows up to the first that says stop, that one included."""
-    earlier = F.coalesce(F.max(stop.cast("int")).over(_upto(run, seq, True)), F.lit(0))
-    return rows.withColumn("_stopped", earlier).where("_stopped = 0").drop("_stopped")
+    ends = rows.where(stop).groupBy(run).agg(F.min(seq).alias("_end"))
+    return _with(rows, ends, [run]).where(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end")
 
 
 def first_success(attempts: DataFrame) -> DataFrame:
@@ -63,11 +98,10 @@ def first_success(attempts: DataFrame) -> DataFrame:
     the run, so its attempts at later calls do not count. Among the others the first in
     rank whose outcome is ok answers; `provider` is null where all fail.
     """
-    gone = F.col("outcome").isin("quota_exhausted", "invalid_config").cast("int")
-    before = F.coalesce(F.max(gone).over(W.partitionBy("run_id", "provider").orderBy("call_seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    live = attempts.withColumn("_gone", before)
-    ok = (F.col("_gone") == 0) & (F.col("outcome") == "ok")
-    return live.groupBy("run_id", "call_seq").agg(F.min_by(F.when(ok, F.col("provider")), F.when(ok, F.col("rank"))).alias("provider"), F.sum(F.when(F.col("_gone") == 0, 1).otherwise(0)).alias("open_providers"))
+    out = attempts.where(F.col("outcome").isin("quota_exhausted", "invalid_config")).groupBy("run_id", "provider").agg(F.min("call_seq").alias("_out"))
+    live = _with(attempts, out, ["run_id", "provider"]).withColumn("_open", F.col("_out").isNull() | (F.col("call_seq") <= F.col("_out")))
+    ok = F.col("_open") & (F.col("outcome") == "ok")
+    return live.groupBy("run_id", "call_seq").agg(F.min_by(F.when(ok, F.col("provider")), F.when(ok, F.col("rank"))).alias("provider"), F.sum(F.when(F.col("_open"), 1).otherwise(0)).alias("open_providers"))
 
 
 def backoff_schedule(attempts: int = 3, retry_after: float | None = None) -> list[float]:

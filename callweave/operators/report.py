@@ -62,6 +62,12 @@ def length_score(results: DataFrame) -> DataFrame:
     return pairs.where("n >= 3").select("n", r.alias("r"), (r * r).alias("r2"), F.when(size < 0.3, "weak").when(size < 0.7, "moderate").otherwise("strong").alias("strength"))
 
 
+def length_score_pairs(results: DataFrame) -> DataFrame:
+    """The pairs that length_score() correlates, in order of words and score, as report lines."""
+    line = F.format_string("%,8d words | %6.1f/100", F.col("word_count").cast("long"), F.col("overall_score").cast("double"))
+    return results.where("overall_score > 0 and word_count > 0").select("word_count", "overall_score", line.alias("line")).orderBy("word_count", "overall_score")
+
+
 def events_by_kind(metrics: DataFrame) -> DataFrame:
     """Number of metric events of each kind."""
     return metrics.groupBy("event").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, ordered, scoring, texts  # noqa: F401  they register their queries
+from . import calls, ordered, runs, scoring, texts  # noqa: F401  they register their queries
 from .base import QUERIES, SQL, Query
 
 

@@ -27,6 +27,11 @@ STT_REQUIRED = ["text", "raw_text"]
 _POINTER, _FIRST = "CURRENT", "v-0"
 
 
+def allowed(rows: DataFrame, columns: list[str] | None) -> DataFrame:
+    """rows (key, cached_at, ..) with the columns that may be kept."""
+    return rows.select(*[c for c in rows.columns if c in ("key", "cached_at") or columns is None or c in columns])
+
+
 class Store:
     """A table of results by key. put() appends; of a key's entries the newest counts.
 
@@ -74,8 +79,7 @@ class Store:
 
     def put(self, rows: DataFrame) -> None:
         """Append rows (key, cached_at, ..), without columns that are not on the list."""
-        keep = [c for c in rows.columns if c in ("key", "cached_at") or self.columns is None or c in self.columns]
-        rows.select(*keep).write.mode("append").parquet(self.current())
+        allowed(rows, self.columns).write.mode("append").parquet(self.current())
 
     def entries(self, as_of: Any) -> DataFrame:
         """Live entries, one per key."""

@@ -8,7 +8,9 @@ import json
 import random
 import time
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
+from decimal import Decimal
+from pathlib import PurePath
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +66,31 @@ def write_document(df: DataFrame, path: str, model: str, generated: str) -> None
     evaluations.agg(F.lit(generated).alias("generated"), F.lit(model).alias("model"), F.count("*").alias("calls"), cost.alias("cost_usd")).write.mode("overwrite").json(f"{path}/metadata")
 
 
+def plain(value: object) -> object:
+    """What a value that JSON does not know is written as: paths and times as text, sets
+    sorted, numbers of other libraries as numbers, bytes as UTF-8. Others are an error."""
+    if isinstance(value, PurePath):
+        return str(value)
+    if isinstance(value, date):  # a datetime is one too
+        return value.isoformat()
+    if isinstance(value, (set, frozenset)):
+        return sorted(value)
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).decode("utf-8", "replace")
+    if hasattr(value, "tolist") and type(value).__module__.startswith("numpy"):
+        return value.tolist()
+    raise TypeError(f"{type(value).__name__} has no JSON form")
+
+
 def emit_metric(path: str, event: str, **data: object) -> bool:
     """Append one event to a local metric log; False instead of an error if that fails."""
     row = {"timestamp": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "event": event, **data}
     try:
         with open(path, "a", encoding="utf-8") as f:
-            f.write(json.dumps(row, default=str) + "\n")
-    except OSError:
+            f.write(json.dumps(row, default=plain) + "\n")
+    except (OSError, TypeError):
         return False
     return True
 

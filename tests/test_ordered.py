@@ -36,6 +36,21 @@ def test_circuit_breaker(spark):
         assert sorted(got[r]) == _simulate_breaker(kinds, 3)
 
 
+def test_blocks_of_a_run_do_not_matter(spark, monkeypatch):
+    """Runs that are cut into many blocks give what whole runs give."""
+    rng = random.Random(11)
+    rows = [(r if r else None, 7 * i - 50, rng.choice("ffrn"), rng.choice([0.25, 0.5, -0.25, None])) for r in range(9) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "run_id long, seq long, kind string, cost double")
+
+    def every():
+        parts = [control.circuit_breaker(df, F.col("kind") == "f", F.col("kind") == "r", 4), control.budget_cutoff(df, "cost", 3.0), control.first_over(df, "cost", 2.0), control.stop_after(df, F.col("kind") == "r")]
+        return [sorted((tuple(r) for r in p.collect()), key=str) for p in parts]
+
+    whole = every()
+    monkeypatch.setattr(control, "BLOCK", 20)
+    assert every() == whole and all(whole)
+
+
 def test_budget_and_first_over(spark):
     df = spark.createDataFrame([(1, i, 0.25) for i in range(6)], "run_id long, seq long, cost double")
     kept = control.budget_cutoff(df, "cost", 1.0).orderBy("seq").collect()

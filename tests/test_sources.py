@@ -1,7 +1,10 @@
 import datetime
+import decimal
 import json
+import pathlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +172,10 @@ def test_compact_replaces_the_table_in_one_step(spark, tmp_path):
     assert store.compact(now) == 2 and store.compact(now) == 2
     assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir())[-1].startswith("v-")
     assert store.clear() == 2 and not store.exists()
+
+
+def test_values_without_a_json_form():
+    values = {"p": pathlib.PurePosixPath("/a/b"), "t": datetime.datetime(2024, 5, 1, 2), "d": datetime.date(2024, 5, 1), "s": {3, 1}, "n": decimal.Decimal("1.5"), "b": b"\xffa", "i": np.int64(3), "f": np.float32(0.5), "a": np.arange(2)}
+    assert json.loads(json.dumps(values, default=writers.plain)) == {"p": "/a/b", "t": "2024-05-01T02:00:00", "d": "2024-05-01", "s": [1, 3], "n": 1.5, "b": "\ufffda", "i": 3, "f": 0.5, "a": [0, 1]}
+    with pytest.raises(TypeError):
+        json.dumps(object(), default=writers.plain)
