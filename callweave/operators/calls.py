@@ -40,6 +40,34 @@ def flatten(payload: DataFrame, order: str | None = None) -> DataFrame:
     )
 
 
+def requested(payload: DataFrame, date_from: str, date_to: str | None = None, agent_id: int | None = None, limit: int = rules.API_LIMIT) -> DataFrame:
+    """payload with those items that a search for days (year-month-day) and an agent asks for.
+
+    limit is the service's own: so many requests come back at most, in the payload's order.
+    `truncated` says whether it was reached, which is when a range of days is to be split.
+    """
+
+    def wanted(r: Column) -> Column:
+        day = F.substring(r["created_at"], 1, 10)
+        out = day >= date_from
+        if date_to is not None:
+            out = out & (day <= date_to)
+        if agent_id is not None:
+            out = out & r["agent"]["id"].eqNullSafe(F.lit(agent_id))
+        return F.coalesce(out, F.lit(False))
+
+    found = payload.withColumn("items", F.coalesce(F.filter("items", wanted), F.array().cast(payload.schema["items"].dataType)))
+    return found.withColumn("truncated", F.size("items") >= limit).withColumn("items", F.slice("items", 1, limit))
+
+
+def payload_problem(success: Column, count: Column, items: Column, message: Column) -> Column:
+    """What is wrong with a payload: the service's message if it failed, or a count that does
+    not fit; null if nothing is."""
+    failed = F.concat(F.lit("failed: "), F.coalesce(message, F.lit("Unknown CRM API error")))
+    found = F.coalesce(F.size(items), F.lit(0))
+    return F.when(~F.coalesce(success, F.lit(False)), failed).when(count != found, F.concat(F.lit("count_mismatch: "), count.cast("string"), F.lit(" reported, "), found.cast("string"), F.lit(" received")))
+
+
 def keep_first(rows: DataFrame, key: str, order: str | Column) -> DataFrame:
     """Of each key the row that comes first in order.
 

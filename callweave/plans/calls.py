@@ -44,6 +44,25 @@ def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.flatten(payload).drop("seq")
 
 
+@query(
+    "search_requests",
+    """WITH o AS (SELECT c_custkey, o_orderkey, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' AND c_nationkey < 20),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY c_custkey) >= 5 AS truncated FROM o)
+SELECT c_custkey, o_orderkey::VARCHAR AS id, truncated FROM n WHERE n <= 5""",
+)
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload a customer, and of its requests those of three years and one agent, five at most."""
+    request = F.struct(
+        F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.lit(None).cast("string").alias("status"),
+        F.struct(F.when(F.col("c_nationkey") < 20, F.lit(7).cast("long")).alias("id"), F.lit(None).cast("string").alias("name")).alias("agent"), F.struct(F.lit("A").alias("first_name"), F.lit("B").alias("last_name")).alias("client"),
+        F.array(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("started_at"), F.lit(1).alias("duration"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("recording_url"))).alias("calls"),
+    )
+    rows = base.table(spark, sf_dir, "customer").join(_orders(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"))
+    payload = rows.groupBy("c_custkey").agg(F.array_sort(F.collect_list(request)).alias("items"))
+    found = calls.requested(payload, "1995-01-01", "1997-12-31", 7, 5)
+    return found.select("c_custkey", "truncated", F.explode("items").alias("r")).select("c_custkey", F.get("r.calls", 0)["id"].alias("id"), "truncated")
+
+
 _URLS = ["https://rec.example.com/a.mp3", "http://REC.example.com:8443/b", "https://evil.example.net/rec.example.com", "", None, "ftp://user@rec.example.com/x", "not a url"]
 
 

@@ -179,3 +179,17 @@ def test_values_without_a_json_form():
     assert json.loads(json.dumps(values, default=writers.plain)) == {"p": "/a/b", "t": "2024-05-01T02:00:00", "d": "2024-05-01", "s": [1, 3], "n": 1.5, "b": "\ufffda", "i": 3, "f": 0.5, "a": [0, 1]}
     with pytest.raises(TypeError):
         json.dumps(object(), default=writers.plain)
+
+
+def test_requests_of_a_search(spark, tmp_path):
+    items = [{"id": i, "created_at": f"2024-05-0{d}T10:00:00", "agent": {"id": a} if a else None, "calls": [{"id": str(i)}]} for i, (d, a) in enumerate([(1, 7), (2, 7), (3, None), (3, 7), (4, 8), (5, 7)])]
+    for name, doc in {"a": {"success": True, "count": 6, "items": items + [{"id": 9, "calls": []}]}, "b": {"success": False, "message": "no"}, "c": {"success": True, "count": 0, "items": []}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    payloads = readers.call_payloads(spark, str(tmp_path))
+    ids = lambda df: sorted(r.id for r in calls.flatten(df).collect())
+    assert ids(calls.requested(payloads, "2024-05-02", "2024-05-04")) == ["1", "2", "3", "4"]
+    assert ids(calls.requested(payloads, "2024-05-02", None, 7)) == ["1", "3", "5"]
+    few = calls.requested(payloads, "2024-01-01", limit=2)
+    assert ids(few) == ["0", "1"] and sorted(r.truncated for r in few.collect()) == [False, False, True]
+    problems = payloads.select(calls.payload_problem(F.col("success"), F.col("count"), F.col("items"), F.col("message")).alias("p")).collect()
+    assert sorted(str(r.p) for r in problems) == ["None", "count_mismatch: 6 reported, 7 received", "failed: no"]
