@@ -55,10 +55,10 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: furniture and to mere boxes.
 DROPPED = frozenset("nav footer aside form script style noscript iframe template textarea title head button select dialog svg math menu".split())
 FURNITURE = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond reply replies disqus discussion pagination pager widget toolbar skip complementary contentinfo search "
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond reply replies commentlist disqus discussion pagination pager widget toolbar skip complementary contentinfo search "
     "kommentar kommentare werbung anzeige hinweis menue seitenleiste commentaires publicite comentarios anuncio publicidad".split()
 )
-BOXES = frozenset("area block bottom box col column container content form group inner item left link links list main middle outer page panel part right row section site space top unit user wrap wrapper".split())
+BOXES = frozenset("area articles author block body bottom box button buttons col column container content count feed form group icon icons inner item items label left link links list main meta middle outer page panel part placeholder posts primary reader readers right row secondary section site slot space stories text thread title top trail unit user users wrap wrapper".split())
 
 
 class Node:
@@ -75,10 +75,10 @@ class Node:
         mark = (names.get("class", "").split() or [""])[0] or names.get("id", "")
         return f"{self.tag}.{re.sub('[0-9]+', '', mark)}" if mark else self.tag
 
-    def furniture(self, names: dict[str, str]) -> bool:
-        """Whether all its names are those of furniture and boxes."""
+    def furniture(self, names: dict[str, str], inside: bool) -> bool:
+        """Whether all its names are those of furniture and boxes; the header of an article is its own."""
         words = {w.lower() for v in names.values() for w in _PARTS.findall(v)}
-        return bool(words & FURNITURE) and words <= FURNITURE | BOXES and self.tag not in ("body", "html", "article", "main")
+        return bool(words & FURNITURE - ({"header"} if inside else set())) and words <= FURNITURE | BOXES and self.tag not in ("body", "html", "article", "main")
 
 
 def parse(page: str) -> Node:
@@ -200,8 +200,8 @@ def outline(page: str | None) -> Outline:
             signs.append(c.sign(names))
             kids.append([])
             kids[node].append(len(signs) - 1)
-            stack.append((iter(c.children), len(signs) - 1, named or c.furniture(names), inside or c.tag in ("article", "main"), True))
-        elif not c.furniture(c.named()):
+            stack.append((iter(c.children), len(signs) - 1, named or c.furniture(names, inside), inside or c.tag in ("article", "main"), True))
+        elif not c.furniture(c.named(), inside):
             if c.tag == "br":
                 text.append(" ")
             stack.append((iter(c.children), node, named, inside, False))

@@ -51,6 +51,12 @@ def test_names_do_not_delete_parts_of_an_article():
     article = "<article><div class='search results'>a b</div><p id='social-history'>c</p><section class='case-discussion'>d</section>{}</article>"
     assert html.extract(article.format("")) == "a b\n\nc\n\nd"
     assert html.extract(article.format("<div class='comments'>e</div><div class='user-comment-list'>e</div><div role='navigation'>f</div>")) == "a b\n\nc\n\nd"
+    assert html.extract("<article><div class='header'><h1>T</h1></div><p>a</p></article><div class='site-header'>s</div>") == "T\n\na"
+    for name in ("reader-comments", "cookie-consent-banner", "newsletter signup", "related-posts", "share-buttons", "ad-slot", "comment-12", "main-nav", "page-footer"):
+        assert html.extract(f"<div><h1>Title of it</h1><p>text of it</p><div class='{name}'>x</div><p>more of it</p></div>") == "Title of it\n\ntext of it\n\nmore of it"
+        assert html.extract(f"<div><h1>Title of it</h1><section id='{name}'>x</section></div>") == "Title of it"
+    for name in ("article-header", "entry-header", "banner-history", "notice-of-meeting", "advertising-law"):
+        assert html.extract(f"<div><div class='{name}'>Title of it</div><p>text</p></div>") == "Title of it\n\ntext"
     assert html.extract("<div class='ad'>an offer</div><article><p>text of it</p></article><div class='teaser'>more</div>") == "text of it"
     assert html.extract("<article>teaser</article><section>a much longer text beside the article</section>") == "teaser\n\na much longer text beside the article"
     assert html.extract("<article>one</article><article>two</article>") == "one\n\ntwo"
