@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,20 +68,31 @@ class Scorer:
             self.rows[: len(self.known)] = model.word_rows
         self.seen: dict[str, int] = {}
 
-    def _place(self, word: str) -> int:
-        if len(self.seen) == REMEMBERED:
-            self.seen.clear()
-        at = self.seen[word] = len(self.known) + len(self.seen)
-        self.rows[at] = self.backoff(word)
-        return at
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The mean over the known n-grams of the greatest length that has any."""
+    def _known_grams(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the greatest length that has any."""
+        get = self.model.grams.get
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams_of(word, n) if (v := self.model.grams.get(g)) is not None]
+            found = [v for g in grams_of(word, n) if (v := get(g)) is not None]
             if found:
-                return self.model.gram_rows[found].mean(0)
-        return np.full(len(self.model.languages), -math.log(len(self.model.languages)), np.float32)
+                return found
+        return []
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean over its known n-grams of the greatest length that has any."""
+        found = [self._known_grams(w) for w in words]
+        sizes = np.array([len(f) for f in found])
+        out = np.full((len(words), len(self.model.languages)), -math.log(len(self.model.languages)), np.float32)
+        some = sizes > 0
+        if some.any():
+            sums = np.add.reduceat(self.model.gram_rows[list(chain.from_iterable(found))], (np.cumsum(sizes) - sizes)[some], axis=0)
+            out[some] = sums / sizes[some, None]
+        return out
+
+    def _remember(self, words: list[str]) -> None:
+        at = len(self.known) + len(self.seen)
+        self.rows[at : at + len(words)] = self.backoff(words)
+        for i, w in enumerate(words):
+            self.seen[w] = at + i
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and the geometric mean of its shares in the words."""
@@ -95,12 +107,10 @@ class Scorer:
             part = items[at : at + REMEMBERED // 2]
             if len(seen) + len(part) > REMEMBERED:
                 seen.clear()
-            index = []
-            for w, _ in part:
-                i = known.get(w)
-                if i is None and (i := seen.get(w)) is None:
-                    i = self._place(w)
-                index.append(i)
+            fresh = [w for w, _ in part if w not in known and w not in seen]
+            if fresh:
+                self._remember(fresh)
+            index = [known[w] if w in known else seen[w] for w, _ in part]
             times = np.array([c for _, c in part], np.float64)
             total += times @ self.rows[index].astype(np.float64)
             n, at = n + int(times.sum()), at + len(part)
