@@ -45,6 +45,9 @@ SIMILARITY = (4, 5)
 SLACK = 32
 #: Texts in a block up to which those that are still apart are compared with each other at once.
 PAIRS_UP_TO = 8
+#: How many times more hubs a larger block has in each round: fewer rounds, as each of them
+#: costs some stages, for hardly more pairs, as the last round has most of these.
+HUBS = 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -143,9 +146,9 @@ def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drawn_hubs(many: DataFrame, turn: int) -> DataFrame:
-    """(key, hub, hub_n, root_b): up to 4 ** turn texts of each block, the least of each of so many slots."""
+    """(key, hub, hub_n, root_b): up to HUBS ** turn texts of each block, the least of each of so many slots."""
     order = F.xxhash64("text_hash", F.lit(turn))
-    slots = many.groupBy("key", F.pmod(order, F.lit(4**turn)).alias("slot"))
+    slots = many.groupBy("key", F.pmod(order, F.lit(HUBS**turn)).alias("slot"))
     drawn = slots.agg(F.min_by(F.struct("text_hash", "n", "root"), order).alias("h"))
     return materialise(drawn.select("key", F.col("h.text_hash").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("root_b")), "hubs")
 
@@ -154,8 +157,8 @@ def settled(shared: DataFrame, roots: DataFrame, linked: Callable[[DataFrame], D
     """roots (node, root) after each two texts of a block are in one group or compared by linked.
 
     Small blocks compare all that are apart. In a larger one all texts meet some hubs,
-    four times as many in each round, and the hubs leave the block. So a block of n texts
-    takes about log4(n) rounds, fewer if its texts come together before.
+    HUBS times as many in each round, and the hubs leave the block. So a block of n texts
+    takes about log(n) / log(HUBS) rounds, fewer if its texts come together before.
     """
     for turn in count(1):
         still = open_blocks(shared, roots)
