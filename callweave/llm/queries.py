@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jpeg, langid, pii, secrets, simhash, suffixes, warc
+from . import bpe, decontam, html, infill, jpeg, langid, pii, secrets, simhash, suffixes, warc
 from .common import read
 
 
@@ -54,6 +54,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
+        "op12_fill_in_middle": op12_fill_in_middle,
         "pipeline": pipeline,
     }
 
@@ -82,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_repeated_passages": suffixes.oracle_sql(),
         "op4_decontamination": decontam.oracle_sql(),
         "op8_warc": warc.oracle_sql(),
+        "op12_fill_in_middle": infill.oracle_sql(),
     }
