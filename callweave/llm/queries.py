@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, infill, jpeg, langid, pii, secrets, simhash, suffixes, warc
+from . import bpe, codebooks, decontam, html, infill, jpeg, langid, pii, secrets, simhash, suffixes, warc
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(read(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
 
@@ -88,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontam.oracle_sql(),
         "op8_warc": warc.oracle_sql(),
         "op12_fill_in_middle": infill.oracle_sql(),
+        "op13_vector_codes": codebooks.oracle_sql(),
     }
