@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codebooks, decontam, html, infill, jpeg, langid, pii, secrets, simhash, suffixes, warc
+from . import bpe, codebooks, decontam, html, infill, jpeg, langid, pii, recurrent, secrets, simhash, suffixes, warc
 from .common import read
 
 
@@ -54,6 +54,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.report(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(read(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
+        "op11_language_model": op11_language_model,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
