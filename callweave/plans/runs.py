@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import audio, numbers, text
 from ..functions.numbers import exact_round_sql as rnd
 from ..operators import calls, evaluate, report, turns, verdicts
 from ..sources import stores
@@ -33,6 +33,49 @@ def short_audio_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "events").select("event_id", numbers.minutes_of(v * 1000).alias("minutes"), numbers.megabytes(v * 100000).alias("megabytes"), text.stt_status(v).alias("status"))
 
 
+#: The recordings of audio_silence are a document's bytes as samples, one a millisecond: spaces and capitals are loud, long words are pauses.
+_PAUSE_MS, _PAUSE_DB = 12, -12.5
+
+
+@query(
+    "audio_silence",
+    f"""WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (('0x' || h)::INT - 128) * 256) AS s FROM documents),
+x AS (SELECT doc_id, len(s) AS ms, unnest(s)::BIGINT AS v, generate_subscripts(s, 1) - 1 AS i FROM b),
+e AS (SELECT doc_id, ms, i, sum(v * v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_PAUSE_MS - 1} FOLLOWING) AS e FROM x),
+q AS (SELECT doc_id, ms, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {_PAUSE_MS} THEN 0 ELSE 1 END AS begins FROM e WHERE i + {_PAUSE_MS} <= ms AND e < {_PAUSE_MS * audio.quiet_limit(_PAUSE_DB)}),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM q),
+p AS (SELECT doc_id, min(i) AS a, max(i) + {_PAUSE_MS} AS z FROM g GROUP BY doc_id, island),
+t AS (SELECT doc_id, count(*) AS n, sum(z - a) AS quiet, arg_min(z, a) FILTER (WHERE a = 0) AS head, min(a) AS first_a, max(z) AS last_z, arg_max(a, z) AS last_a FROM p GROUP BY doc_id),
+d AS (SELECT b.doc_id, len(s) AS ms, n, quiet, head, last_z, last_a FROM b LEFT JOIN t ON b.doc_id = t.doc_id),
+r AS (SELECT doc_id, ms, CASE WHEN ms = 0 THEN 0 ELSE coalesce(n, 0) + 1 - (head IS NOT NULL)::INT - (coalesce(last_z, -1) = ms)::INT END AS n_ranges, ms - coalesce(quiet, 0) AS sounding_ms, coalesce(head, 0) AS first_ms, CASE WHEN last_z = ms THEN last_a ELSE ms END AS last_ms FROM d),
+c AS (SELECT *, n_ranges = 0 AS silent, greatest(0, first_ms - 3) AS s, least(ms, last_ms + 3) AS z FROM r),
+f AS (SELECT *, {rnd('((1 - (z - s) / greatest(1, ms)) * 100)', 1)} AS pct FROM c)
+SELECT doc_id, ms AS duration_ms, {rnd('(ms / 60000)', 2)} AS minutes, n_ranges, sounding_ms, CASE WHEN NOT silent THEN s END AS start_ms, CASE WHEN NOT silent THEN z END AS end_ms,
+  CASE WHEN silent THEN 100.0::DOUBLE ELSE pct END AS savings_pct, CASE WHEN silent THEN 'all_silence' WHEN pct < 0.5 THEN 'no_change' ELSE 'preprocessed' END AS action FROM f""",
+)
+def audio_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sounds in recordings, and what is cut off their ends."""
+    payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    files = base.table(spark, sf_dir, "documents").select("doc_id", audio.measured(audio.wave_bytes(payload, 1000), _PAUSE_MS, _PAUSE_DB).alias("m"))
+    long = F.aggregate("m.sounding", F.lit(0).cast("long"), lambda n, x: n + x["end_ms"] - x["start_ms"])
+    cut = files.select("doc_id", "m.duration_ms", audio.minutes(F.col("m")).alias("minutes"), F.size("m.sounding").alias("n_ranges"), long.alias("sounding_ms"), audio.trimmed(F.col("m"), 3, 0.5).alias("t"))
+    return cut.select("doc_id", "duration_ms", "minutes", "n_ranges", "sounding_ms", "t.*")
+
+
+@query(
+    "audio_frames",
+    f"""WITH d AS (SELECT doc_id, doc_id % 300 AS k, CASE WHEN doc_id % 300 > 0 THEN round(doc_id % 300 * 1152000 / 44100.0)::BIGINT END AS duration_ms FROM documents)
+SELECT doc_id, CASE WHEN k > 0 THEN 'mp3' END AS format, duration_ms, {rnd('(duration_ms / 60000)', 2)} AS minutes, CASE WHEN duration_ms < 5000 THEN 'skipped_short' ELSE 'pending' END AS status FROM d""",
+)
+def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations of MP3 files, each of a tag that holds a document and of some frames."""
+    tag, n = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    seven = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("long"), 7 * i).bitwiseAND(127)), 2, "0")) for i in (3, 2, 1, 0)])
+    frames = F.unhex(F.repeat(F.lit((b"\xff\xfb\x90\x00" + bytes(413)).hex()), (F.col("doc_id") % 300).cast("int")))
+    files = base.table(spark, sf_dir, "documents").select("doc_id", audio.measured(F.concat(F.lit(b"ID3\x04\x00\x00"), seven, tag, frames)).alias("m"))
+    return files.select("doc_id", "m.format", "m.duration_ms", audio.minutes(F.col("m")).alias("minutes"), text.stt_status(F.col("m.duration_ms") / 1000).alias("status"))
+
+
 @query("export_columns", "SELECT doc_id, lang, n_chars FROM documents")
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = {"raw_response": "text", "raw_text": "text", "system_prompt": "source"}
