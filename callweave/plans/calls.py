@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numbers import exact_round_sql as rnd
 from ..operators import cache, calls, report
+from ..sources import callsource
 from ..sources.readers import PAYLOAD  # noqa: F401  the shape that flatten() takes
+from ..sources.shared import scratch
 from . import base
 from .base import pick, pick_sql, query
 
@@ -157,17 +157,34 @@ def stt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stt_summary(o)
 
 
+def _service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the records of a call service, laid out by month and day, to be searched."""
+    void = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in callsource.RECORD.split(", ")}
+    own = {"id": F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), "day": F.to_date("o_orderdate"), "agent_id": F.col("o_custkey") % 7, "flight_request_id": F.col("o_custkey"), "result": F.col("o_orderstatus")}
+    at = scratch(spark, "calls")
+    callsource.write_folder(_orders(spark, sf_dir).select(*[c.alias(n) for n, c in {**void, **own}.items()]), at)
+    callsource.register(spark)
+    return spark.read.format("calls").option("path", at).load()
+
+
+def _found(more: str = "") -> str:
+    """Records with their place in, and whether full, the search of a day and what is asked besides."""
+    by = f"PARTITION BY o_orderdate::DATE{more}"
+    return f"""(SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER ({by} ORDER BY id) AS n, count(*) OVER ({by}) >= {rules.API_LIMIT} AS truncated
+FROM (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_custkey % 7 AS agent_id, o_custkey AS flight_request_id, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL)) WHERE n <= {rules.API_LIMIT}"""
+
+
+@query("range_split_scan", f"SELECT id, agent_id, day, flight_request_id, truncated FROM {_found()}")
+def range_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through searches that give at most so many records: each task halves its range of days."""
+    return _service(spark, sf_dir).select("id", "agent_id", F.col("day").cast("string").alias("day"), "flight_request_id", "truncated")
+
+
 @query(
-    "range_split_scan",
-    f"""WITH m AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-02-01')
-SELECT o_orderkey, o_custkey, (SELECT coalesce(max(n), 0) >= {rules.API_LIMIT} FROM (SELECT count(*) AS n FROM m GROUP BY day)) AS truncated FROM m""",
+    "call_source_search",
+    f"SELECT id, agent_id, day, truncated FROM {_found(', agent_id')} AND o_orderdate::DATE >= DATE '1993-02-10' AND o_orderdate::DATE < DATE '1997-11-03' AND agent_id IN (2, 5) AND flight_request_id > 40",
 )
-def range_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A month of orders, read in ranges of days that stay below the limit of a source."""
-    o = _orders(spark, sf_dir).withColumn("day", F.to_date("o_orderdate"))
-    first, last = date(1997, 1, 1), date(1997, 1, 31)
-    daily = {r.day: r.n for r in o.where(F.col("day").between(first, last)).groupBy("day").agg(F.count("*").alias("n")).collect()}
-    count = lambda a, b: sum(n for d, n in daily.items() if a <= d <= b)
-    ranges, cut = calls.split_range(first, last, count, rules.API_LIMIT)
-    found = calls.read_ranges(ranges, lambda a, b: o.where(F.col("day").between(a, b + timedelta(days=1))), "o_orderkey")  # sources overlap by a day
-    return found.where(F.col("day").between(first, last)).select("o_orderkey", "o_custkey", F.lit(cut).alias("truncated"))
+def call_source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and agents go into the searches; what the service cannot ask for is filtered after."""
+    found = _service(spark, sf_dir).where("day >= DATE '1993-02-10' AND day < DATE '1997-11-03' AND agent_id IN (2, 5) AND flight_request_id > 40")
+    return found.select("id", "agent_id", F.col("day").cast("string").alias("day"), "truncated")
