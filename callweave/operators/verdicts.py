@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,40 +10,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import rules
+from ..functions import jsonspans, rules
 
 REQUIRED = ["criteria", "overall_assessment", "strengths", "improvements"]
 ANSWER = "criteria map<string,struct<score:string,evidence:string>>, overall_assessment string, strengths array<string>, improvements array<string>, critical_gaps array<string>"
 
-_FENCES = [re.compile(r"```json\s*(.*?)\s*```", re.S), re.compile(r"```\s*(.*?)\s*```", re.S)]
-_DECODER = json.JSONDecoder()
+#: Bytes of answers that are indexed at once.
+_INDEXED = 2 << 20
 
 
-def find_json(text: str | None) -> object | None:
-    """The JSON value of an answer: the whole of it, a fenced block, or the first object in it.
+
+_NOTHING = object()
+
+
+def _whole(text: str) -> object:
+    """The value that a text or a fenced block of it is, or _NOTHING."""
+    candidates = [text]
+    for mark in ("```json", "```"):
+        first = text.find(mark)
+        last = text.find("```", first + len(mark)) if first >= 0 else -1
+        if last >= 0:
+            candidates.append(text[first + len(mark) : last].strip())
+    for candidate in candidates:
+        try:
+            return json.loads(candidate)
+        except ValueError:  # not JSON, or a number of too many digits
+            continue
+    return _NOTHING
+
+
+def find_all(texts: list[str | None]) -> list[object | None]:
+    """The JSON value of each answer: the whole of it, a fenced block, or the first object in it.
 
     An answer that is nested too deeply to be read has none, nor has a number too long to
-    be one.
+    be one. The texts that need a search share one structural index (jsonspans).
     """
-    text = (text or "").strip()
-    candidates = [text, *(m[1] for f in _FENCES if (m := f.search(text)))]
-    try:
-        for candidate in candidates:
+    out: list[object | None] = [None] * len(texts)
+    open_ones: list[tuple[int, bytes]] = []
+    for i, t in enumerate(texts):
+        text = (t or "").strip()
+        try:
+            value = _whole(text)
+        except RecursionError:
+            continue
+        if value is not _NOTHING:
+            out[i] = value
+        elif "{" in text:
+            open_ones.append((i, text.encode("utf-8", "surrogatepass")))
+    while open_ones:
+        some, size = [], 0
+        while open_ones and (not some or size + len(open_ones[-1][1]) <= _INDEXED):
+            some.append(open_ones.pop())
+            size += len(some[-1][1])
+        for (i, text), found in zip(some, jsonspans.spans([t for _, t in some]), strict=True):
             try:
-                return json.loads(candidate)
-            except ValueError:  # not JSON, or a number of too many digits
-                continue
-        at = text.find("{")
-        while at >= 0:
-            try:
-                value, _ = _DECODER.raw_decode(text, at)
-            except ValueError:
-                at = text.find("{", at + 1)
-                continue
-            return value
-    except RecursionError:
-        return None
-    return None
+                out[i] = jsonspans.first_object(text, found)
+            except RecursionError:
+                out[i] = None
+    return out
+
+
+def find_json(text: str | None) -> object | None:
+    """The JSON value of one answer."""
+    return find_all([text])[0]
 
 
 def _dumped(value: object) -> str | None:
@@ -57,7 +85,7 @@ def _dumped(value: object) -> str | None:
 @F.pandas_udf(StringType())
 def _json_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([_dumped(find_json(t)) for t in texts], dtype=object)
+        yield pd.Series([_dumped(v) for v in find_all(texts.tolist())], dtype=object)
 
 
 def extract_json(text: Column) -> Column:
