@@ -11,10 +11,11 @@ from collections import OrderedDict
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache
+from .commits import CommitLog, Conflict
 
 #: What may be kept of an evaluation, and what must be there to use it.
 LLM_COLUMNS = [
@@ -24,7 +25,8 @@ LLM_COLUMNS = [
 LLM_REQUIRED = ["criteria", "overall_assessment"]
 STT_REQUIRED = ["text", "raw_text"]
 
-_POINTER, _FIRST = "CURRENT", "v-0"
+#: Folders that each commit's rows are dealt to by key, so that a lookup reads only those of its keys.
+PARTS = 64
 
 
 def allowed(rows: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -33,88 +35,129 @@ def allowed(rows: DataFrame, columns: list[str] | None) -> DataFrame:
 
 
 class Store:
-    """A table of results by key. put() appends; of a key's entries the newest counts.
-
-    The table is a folder of versions, and a small file that names the current one.
-    compact() writes a new version without what has expired, is an orphan or exceeds
-    max_entries, and then replaces that file in one step: readers see the old version or
-    the new one, whole, and a crash loses nothing. The version before stays for those that
-    still read it, until the next compact().
+    """A table of results by key, for any number of writers at once. put() appends; of a key's
+    entries the newest counts.
+
+    Rows lie in one folder for each put() or compact(), within it in folders of parts by the
+    key's hash. A log of commits (commits.CommitLog) names the folders that count, so readers
+    see the table after some commit, whole, and a crash leaves at most a folder that no
+    commit names. compact() replaces the folders that it has read, and those alone: rows
+    that were put meanwhile stay. If another compact() or clear() was faster, it begins anew.
+    Replaced folders stay for those that still read them, until the next compact(), unless clear() takes them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ttl_days: int, required: list[str], columns: list[str] | None = None, max_entries: int = 0):
-        self.spark, self.path, self.ttl_days, self.required, self.columns, self.max_entries = spark, path, ttl_days, required, columns, max_entries
-
-    def _path(self, name: str = "") -> Any:
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+    def __init__(self, spark: SparkSession, path: str, ttl_days: int, required: list[str], columns: list[str] | None = None, max_entries: int = 0, parts: int = PARTS):
+        self.spark, self.path, self.ttl_days, self.required, self.columns, self.max_entries, self.parts = spark, path.rstrip("/"), ttl_days, required, columns, max_entries, parts
+        self.log = CommitLog(spark, self.path)
 
-    def _fs(self) -> Any:
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str:
-        """Folder of the version that counts."""
-        fs, pointer = self._fs(), self._path(_POINTER)
-        if not fs.exists(pointer):
-            return f"{self.path}/{_FIRST}"
-        stream = fs.open(pointer)
-        try:
-            return f"{self.path}/{bytes(stream.readAllBytes()).decode()}"
-        finally:
-            stream.close()
-
-    def _publish(self, version: str) -> None:
-        """Make a version the current one, by a rename that replaces."""
-        jvm, fs = self.spark._jvm, self._fs()
-        fresh, pointer = self._path(f"{_POINTER}-{version}"), self._path(_POINTER)
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        uri = fs.makeQualified(pointer).toUri()
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), overwrite)
+    def current(self) -> int:
+        """Number of the commit that counts."""
+        return self.log.latest()[0]
 
     def exists(self) -> bool:
-        return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.current()))
-
-    def put(self, rows: DataFrame) -> None:
-        """Append rows (key, cached_at, ..), without columns that are not on the list."""
-        allowed(rows, self.columns).write.mode("append").parquet(self.current())
+        return bool(self.log.latest()[1]["live"])
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame) -> str:
+        """rows in a folder of their own, which no commit names yet."""
+        name = uuid.uuid4().hex
+        rows.withColumn("part", self.part(F.col("key"))).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/data/commit={name}")
+        return name
+
+    def _read(self, live: list[str]) -> DataFrame:
+        if not live:
+            return self.spark.createDataFrame([], "key string, cached_at timestamp, part int")
+        rows = self.spark.read.option("basePath", f"{self.path}/data").option("mergeSchema", True).parquet(*[f"{self.path}/data/commit={c}" for c in live])
+        return rows.drop("commit").withColumn("part", F.col("part").cast("int"))
+
+    def _newest(self, rows: DataFrame, as_of: Any) -> DataFrame:
+        known = [c for c in self.required if c in rows.columns]
+        rows = cache.live(rows, as_of, self.ttl_days, known)
+        return rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), "cached_at").alias("row")).select("row.*").drop("part")
+
+    def _delete(self, folders: list[str]) -> None:
+        for name in folders:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/commit={name}")
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def put(self, rows: DataFrame) -> int:
+        """Append rows (key, cached_at, ..), without columns that are not on the list; returns the commit's number."""
+        name = self._write(allowed(rows, self.columns))
+        return self.log.commit(lambda now: {"live": [*now["live"], name], "removed": [], "kind": "put"})
 
     def entries(self, as_of: Any) -> DataFrame:
         """Live entries, one per key."""
-        rows = cache.live(self.spark.read.parquet(self.current()), as_of, self.ttl_days, self.required)
-        columns = rows.columns
-        newest = rows.groupBy("key").agg(F.max_by(F.struct(*columns), "cached_at").alias("row"))
-        return newest.select("row.*")
+        return self._newest(self._read(self.log.latest()[1]["live"]), as_of)
+
+    def lookup(self, requests: DataFrame, as_of: Any) -> DataFrame:
+        """requests (key, ..) with `hit` and the live entry's columns; reads only the parts of their keys.
+
+        Which parts these are is at most `parts` numbers, which the driver puts into the read.
+        """
+        touched = [r[0] for r in requests.select(self.part(F.col("key")).alias("p")).distinct().collect()]
+        rows = self._read(self.log.latest()[1]["live"]).where(F.col("part").isin(touched))
+        return cache.lookup(requests, self._newest(rows, as_of))
 
     def size(self) -> int:
-        return self.spark.read.parquet(self.current()).select("key").distinct().count() if self.exists() else 0
+        return self._read(self.log.latest()[1]["live"]).select("key").distinct().count()
 
-    def compact(self, as_of: Any, current: DataFrame | None = None) -> int:
+    def compact(self, as_of: Any, current: DataFrame | None = None, tries: int = 5) -> int:
         """Rewrite the table with what is still of use; returns the number of entries.
 
         Orphans go first, so that they take no place of the max_entries that stay.
         """
-        rows = self.entries(as_of)
-        if current is not None:
-            rows = rows.join(current.select("key").distinct(), "key", "left_semi")
-        old, version = self.current().rsplit("/", 1)[1], f"v-{uuid.uuid4().hex}"
-        cache.newest(rows, self.max_entries).write.parquet(f"{self.path}/{version}")
-        self._publish(version)
-        fs = self._fs()
-        for status in fs.listStatus(self._path()):
-            if status.isDirectory() and status.getPath().getName() not in (old, version):
-                fs.delete(status.getPath(), True)
-        return self.size()
+        for _ in range(tries):
+            began, state = self.log.latest()
+            read = state["live"]
+            if not read:
+                return 0
+            name = None
+            try:
+                rows = self._newest(self._read(read), as_of)
+                if current is not None:
+                    rows = rows.join(current.select("key").distinct(), "key", "left_semi")
+                name = self._write(cache.newest(rows, self.max_entries))
+                version = self.log.commit(lambda now, name=name, read=read: {"live": [name, *_without(now["live"], read)], "removed": read, "kind": "compact"})
+            except Exception as e:
+                if name:
+                    self._delete([name])
+                if isinstance(e, Conflict) or not set(read) <= set(self.log.latest()[1]["live"]):
+                    continue  # what was read is gone, and may have been while it was read
+                raise
+            done = [v for v in self.log.versions() if v < version]
+            self._delete([f for v in done for f in self.log.read(v)["removed"]])
+            self.log.trim(began)
+            return self.size()
+        raise Conflict(f"another writer was faster {tries} times")
 
     def clear(self, dry_run: bool = False) -> int:
-        """Delete the table; with dry_run only say how many entries would go."""
+        """Delete the table's rows; with dry_run only say how many entries would go."""
         n = self.size()
         if not dry_run and self.exists():
-            self._fs().delete(self._path(), True)
+            version = self.log.commit(lambda now: {"live": [], "removed": now["live"], "kind": "clear"})
+            self._delete(self.log.read(version)["removed"])
         return n
 
+    def vacuum(self, older_than_s: float = 86_400.0) -> int:
+        """Delete folders that no commit names and that are older than a day: what crashed writers left."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        named = {f for v in self.log.versions() for s in [self.log.read(v)] for f in (*s["live"], *s["removed"])}
+        left = [s.getPath().getName().removeprefix("commit=") for s in (fs.listStatus(root) if fs.exists(root) else []) if time.time() - s.getModificationTime() / 1000 > older_than_s]
+        gone = [f for f in left if f not in named]
+        self._delete(gone)
+        return len(gone)
+
+
+def _without(live: list[str], read: list[str]) -> list[str]:
+    """What is live besides the folders that were read; all of these must still be."""
+    if not set(read) <= set(live):
+        raise Conflict("the folders that were read have been replaced")
+    return [f for f in live if f not in set(read)]
+
 
 class Recent:
     """The most recently used values of a driver, at most `most` of them."""
