@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.numbers import exact_round_sql as rnd
 from ..operators import cache, calls, report
-from ..sources import callsource
+from ..sources import callsource, stores
 from ..sources.readers import PAYLOAD  # noqa: F401  the shape that flatten() takes
 from ..sources.shared import scratch
 from . import base
@@ -107,6 +107,21 @@ def cache_hit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lookup(_requests(spark, sf_dir), _cache(spark, sf_dir).drop("cached_at", "text"))
 
 
+@query(
+    "cache_store_lookup",
+    f"SELECT l_orderkey AS key, l_linenumber AS n, c.key IS NOT NULL AS hit, c.value FROM lineitem LEFT JOIN (SELECT key, value FROM {_CACHE} WHERE epoch(TIMESTAMP '{_AS_OF}') - epoch(cached_at) <= 30 * 86400 AND text IS NOT NULL) c ON l_orderkey = c.key",
+)
+def cache_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests beside a stored cache: older entries, the current ones, a rewrite, and a lookup."""
+    as_of, rows = F.lit(_AS_OF).cast("timestamp"), _cache(spark, sf_dir)
+    rows = rows.withColumn("cached_at", F.col("cached_at").cast("timestamp"))
+    store = stores.Store(spark, scratch(spark, "cache"), cache.STT_TTL_DAYS, ["text"], parts=16)
+    store.put(rows.where("text is not null").withColumn("cached_at", F.col("cached_at") - F.expr("INTERVAL 1 SECOND")).withColumn("value", -F.col("value")))
+    store.put(rows)
+    store.compact(as_of)
+    return store.lookup(_requests(spark, sf_dir).select("key", "n"), as_of).select("key", "n", "hit", "value")
+
+
 @query("cache_misses_distinct", f"SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT key FROM {_CACHE})")
 def cache_misses_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.misses(_requests(spark, sf_dir).select("key"), _cache(spark, sf_dir))
