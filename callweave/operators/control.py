@@ -1,9 +1,11 @@
 """Ordered run controls: cut-offs over a sequence, and provider fallback.
 
 Each works on runs: rows of one run are ordered by a sequence column, in which no value
-occurs twice. A run may be very long, so no task needs to hold one: running values are
-built from blocks of a run and what the blocks before carry over, and cut-offs from the
-least sequence value of a run, which is pre-aggregated.
+occurs twice. Where no run has more than LONG rows, running values are plain windows. A
+longer run is never in one task: all rows are sorted by run and sequence into ranges, of
+whatever type the sequence is, and a range's running values are its own and what the
+ranges before it carry over, of which there is one row a range and run. Both give the same
+rows. Cut-offs come from the least sequence value of a run, which is pre-aggregated.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Sequence values that a block of a run spans.
-BLOCK = 1 << 16
+from ..sources.shared import scratch
+
+#: Rows of a run that one window may hold.
+LONG = 1_000_000
 
 
 def _with(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,25 +29,43 @@ def _with(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, same, "left").drop(*[f"_on_{k}" for k in keys])
 
 
-def running(rows: DataFrame, values: dict[str, tuple[Column, str]], run: str = "run_id", seq: str = "seq") -> DataFrame:
-    """rows and, by name, the running sum or max of values over each run, a row's own included.
+def _cut(rows: DataFrame, run: str, seq: str) -> tuple[DataFrame, bool]:
+    """rows, and whether they have `_block`, the range that a row is in, as some run is long.
 
-    A sequence of numbers or times is cut into blocks of BLOCK; one of another type is one block.
+    Ranges are written once, since what is in one must not depend on when it is asked.
     """
-    kind = rows.schema[seq].dataType.typeName()
-    number = F.col(seq).cast("timestamp").cast("long") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(seq).cast("long")
-    block = F.floor(number / BLOCK) if kind not in ("string", "struct", "array", "binary", "boolean") else F.lit(0)
+    longest = rows.groupBy(run).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= LONG:
+        return rows, False
+    spark, at = rows.sparkSession, scratch(rows.sparkSession, "ranges")
+    ranges = rows.repartitionByRange(F.col(run), F.col(seq)).withColumn("_block", F.spark_partition_id())
+    ranges.write.parquet(at)
+    return spark.read.schema(ranges.schema).parquet(at), True
+
+
+def _running(rows: DataFrame, cut: bool, values: dict[str, tuple[Column, str]], run: str, seq: str) -> DataFrame:
+    """rows of _cut() and, by name, the running sum or max of values over each run, a row's own included."""
     over = {"sum": F.sum, "max": F.max}
-    marked = rows.withColumn("_block", block)
-    totals = marked.groupBy(run, "_block").agg(*[over[how](value).alias(f"_c_{name}") for name, (value, how) in values.items()])
+    keys = [run, "_block"] if cut else [run]
+    inside = W.partitionBy(*keys).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    own = {name: over[how](value).over(inside) for name, (value, how) in values.items()}
+    if not cut:
+        return rows.withColumns(own)
+    totals = rows.groupBy(*keys).agg(*[over[how](value).alias(f"_c_{name}") for name, (value, how) in values.items()])
     before = W.partitionBy(run).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(run, "_block", *[over[how](f"_c_{name}").over(before).alias(f"_c_{name}") for name, (_, how) in values.items()])
-    inside = W.partitionBy(run, "_block").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    out = _with(marked, carried, [run, "_block"])
-    for name, (value, how) in values.items():
-        own, past = over[how](value).over(inside), F.col(f"_c_{name}")
-        out = out.withColumn(name, F.coalesce(own + past, own, past) if how == "sum" else F.greatest(own, past))
-    return out.drop("_block", *[f"_c_{name}" for name in values])
+    carried = totals.select(*keys, *[over[how](f"_c_{name}").over(before).alias(f"_c_{name}") for name, (_, how) in values.items()])
+    out = _with(rows.withColumns(own), carried, keys)
+    past = {name: F.col(f"_c_{name}") for name in values}
+    both = {name: F.coalesce(F.col(name) + past[name], F.col(name), past[name]) if how == "sum" else F.greatest(name, past[name]) for name, (_, how) in values.items()}
+    return out.withColumns(both).drop(*[f"_c_{name}" for name in values])
+
+
+def running(rows: DataFrame, values: dict[str, tuple[Column, str]], run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """rows and, by name, the running sum or max of values over each run, a row's own included.
+
+    The sequence is of any type that has an order.
+    """
+    return _running(*_cut(rows, run, seq), values, run, seq).drop("_block")
 
 
 def circuit_breaker(rows: DataFrame, failed: Column, reset: Column, limit: int = 3, run: str = "run_id", seq: str = "seq") -> DataFrame:
@@ -54,8 +76,9 @@ def circuit_breaker(rows: DataFrame, failed: Column, reset: Column, limit: int =
     after it, which are cut off.
     """
     marked = rows.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_reset", F.coalesce(reset, F.lit(False)) & ~F.col("_failed"))
-    so_far = running(marked, {"_fails": (F.col("_failed").cast("long"), "sum"), "_place": (F.lit(1).cast("long"), "sum")}, run, seq)
-    since = running(so_far, {"_settled": (F.when(F.col("_reset"), F.col("_fails")), "max")}, run, seq)
+    ranges, cut = _cut(marked, run, seq)
+    so_far = _running(ranges, cut, {"_fails": (F.col("_failed").cast("long"), "sum"), "_place": (F.lit(1).cast("long"), "sum")}, run, seq)
+    since = _running(so_far, cut, {"_settled": (F.when(F.col("_reset"), F.col("_fails")), "max")}, run, seq).drop("_block")
     counted = since.withColumn("failures", F.col("_fails") - F.coalesce("_settled", F.lit(0))).withColumn("tripped", F.col("_failed") & (F.col("failures") >= limit))
     trips = counted.groupBy(run).agg(F.min(F.when(F.col("tripped"), F.struct(F.col(seq).alias("seq"), F.col("_place").alias("place")))).alias("_trip"), F.count("*").alias("_all"))
     kept = _with(counted, trips, [run]).where(F.col("_trip").isNull() | (F.col(seq) <= F.col("_trip.seq")))

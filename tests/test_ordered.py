@@ -36,19 +36,40 @@ def test_circuit_breaker(spark):
         assert sorted(got[r]) == _simulate_breaker(kinds, 3)
 
 
-def test_blocks_of_a_run_do_not_matter(spark, monkeypatch):
-    """Runs that are cut into many blocks give what whole runs give."""
+@pytest.mark.parametrize("seq", ["7 * i - 50", "TIMESTAMP_MICROS(i * i * i)", "lpad(CAST(i AS string), 4, '0')", "named_struct('_row', -3L, '_i', i, '_j', 1)", "CAST(i AS double) * 1e-9"])
+def test_ranges_of_a_run_do_not_matter(spark, monkeypatch, seq):
+    """Runs that are cut into many ranges give what whole runs give, whatever orders them."""
     rng = random.Random(11)
-    rows = [(r if r else None, 7 * i - 50, rng.choice("ffrn"), rng.choice([0.25, 0.5, -0.25, None])) for r in range(9) for i in range(rng.randint(1, 60))]
-    df = spark.createDataFrame(rows, "run_id long, seq long, kind string, cost double")
+    rows = [(r if r else None, i, rng.choice("ffrn"), rng.choice([0.25, 0.5, -0.25, None])) for r in range(9) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "run_id long, i long, kind string, cost double").repartition(5).selectExpr("run_id", f"{seq} AS seq", "kind", "cost")
 
     def every():
         parts = [control.circuit_breaker(df, F.col("kind") == "f", F.col("kind") == "r", 4), control.budget_cutoff(df, "cost", 3.0), control.first_over(df, "cost", 2.0), control.stop_after(df, F.col("kind") == "r")]
         return [sorted((tuple(r) for r in p.collect()), key=str) for p in parts]
 
     whole = every()
-    monkeypatch.setattr(control, "BLOCK", 20)
-    assert every() == whole and all(whole)
+    monkeypatch.setattr(control, "LONG", 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert every() == whole and all(whole)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_one_long_run_is_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(control, "LONG", 100)
+    df = spark.range(2000).selectExpr("1 AS run_id", "id AS seq", "1L AS one").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges of so few bytes are joined otherwise
+    try:
+        ranges, cut = control._cut(df, "run_id", "seq")
+        sizes = [r["count"] for r in ranges.groupBy("_block").count().collect()]
+        assert cut and len(sizes) >= 3 and max(sizes) < 1000
+        assert control.running(df, {"n": (F.col("one"), "sum")}).where("n <> seq + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_budget_and_first_over(spark):
