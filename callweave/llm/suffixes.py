@@ -14,9 +14,9 @@ passage of MIN_WORDS words that another text has too; equal texts are one text u
 end. Words are compared by hashes, passages by two independent ones with 96 bits together,
 texts by one of 64 bits.
 
-Sorting splits a hot passage over many tasks. A task reads its rows as a stream and knows
-the neighbours of all but those of its first and last value; of these each task has two at
-most, so they are settled by a broadcast of fixed size.
+Sorting splits a hot passage over many tasks. A task reads its rows as a stream, batch by
+batch, and knows the neighbours of all but those at the edges of a batch; these are settled
+by two summaries a batch, not by the rows that share their key.
 """
 
 from __future__ import annotations
@@ -137,53 +137,57 @@ _MARKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted rows (key, id, pos) of a task that stand beside another id of their key, as
-    state 1, and those of its first and last key that do not, as state 2: a neighbouring
-    task may have another id. One key's rows of one id are held at a time, no more."""
-    key = owner = None  # of the run that the last batch ended in
-    met = False  # whether that run has a second id, so that its rows are out already
-    first = True  # whether it is the task's first run
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    state 1, each once.
+
+    What only the rows after a batch or another task can tell is left open: the rows of a
+    batch's last key, and of the task's first, that have one id so far, are state 2. Each
+    batch also gives, as state 3, its first and its last key with their least id and their
+    greatest (in pos); whether an open row's key has several ids follows from these alone.
+    Nothing is held but the last row.
+    """
+    first = last = None  # the task's first key; the row before
+    met = False  # whether its key has several ids up to there
 
     def out(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray, state: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(pos), pa.array(np.full(len(keys), state, np.int32))], schema=_MARKED)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         keys, ids, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])
+        if last and len(keys):
+            new[0] = (keys[0], ids[0], pos[0]) != last
+        keys, ids, pos = keys[new], ids[new], pos[new]
+        if not len(keys):
+            continue
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         ends = np.append(starts[1:], len(keys))
         several = ids[starts] != ids[ends - 1]  # sorted, so a run has one id if its ends do
-        if key is not None and keys[0] == key:
-            several[0] |= met or ids[0] != owner
-            if several[0]:
-                yield from (out(*h, 1) for h in held)
-                held = []
-        else:
-            yield from (out(*h, 2) for h in held if first)
-            held, first = [], key is None
+        if last and keys[0] == last[0]:
+            several[0] |= met or ids[0] != last[1]
         rows = np.repeat(several, ends - starts)
         if rows.any():
             yield out(keys[rows], ids[rows], pos[rows], 1)
-        if len(starts) > 1:  # the run that the batch begins in is over
-            if first and not several[0]:
-                held.append((keys[: ends[0]], ids[: ends[0]], pos[: ends[0]]))
-            yield from (out(*h, 2) for h in held if first)
-            held, first = [], False
-        if not several[-1]:
-            held.append((keys[starts[-1] :], ids[starts[-1] :], pos[starts[-1] :]))
-        key, owner, met = keys[-1], ids[-1], bool(several[-1])
-    yield from (out(*h, 2) for h in held)
+        first = keys[0] if last is None else first
+        edges = [0, len(starts) - 1] if len(starts) > 1 else [0]
+        for i in edges:
+            if not several[i] and (i == len(starts) - 1 or keys[starts[i]] == first):
+                yield out(keys[starts[i] : ends[i]], ids[starts[i] : ends[i]], pos[starts[i] : ends[i]], 2)
+        yield out(keys[starts[edges]], ids[starts[edges]], ids[ends[edges] - 1], 3)
+        last, met = (keys[-1], ids[-1], pos[-1]), bool(several[-1])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows (key long, id long, pos long) whose key another id has too. rows is read twice."""
+    """The distinct rows (key long, id long, pos long) whose key another id has too. rows is read twice.
+
+    Equal rows, as when several tasks bring in one text, are in one task and counted once there.
+    """
     ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "pos")
     bounded_batches(rows.sparkSession)
     marked = materialise(ordered.mapInArrow(_mark, "key long, id long, pos long, state int"), "marked")
-    edges = marked.where("state = 2").select("key").distinct()  # two a task at most
-    whole = marked.join(F.broadcast(edges), "key", "left_semi").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    met = marked.where("state = 2").join(F.broadcast(whole), "key", "left_semi")
+    edges = marked.where("state = 3").groupBy("key").agg(F.min("id").alias("a"), F.max("pos").alias("b"))
+    whole = materialise(edges.where("a <> b").select("key"), "edges")
+    met = marked.where("state = 2").join(F.broadcast(whole) if small_enough(whole) else whole, "key", "left_semi")
     return marked.where("state = 1").union(met).select("key", "id", "pos")
 
 

@@ -86,7 +86,7 @@ def test_edges_of_sorted_tasks(spark, partitions):
         owners = defaultdict(set)
         for k, i, _ in rows:
             owners[k].add(i)
-        want = sorted(r for r in rows if len(owners[r[0]]) > 1)
+        want = sorted({r for r in rows if len(owners[r[0]]) > 1})  # equal rows are one
         df = spark.createDataFrame(rows, "key long, id long, pos int")
         assert sorted(map(tuple, suffixes.repeated(df).collect())) == want
     finally:
@@ -124,21 +124,70 @@ def test_equals_sql(spark):
     assert sorted(tuple(r) for r in rows) == sorted(want) and want
 
 
+def settle(tasks):
+    """What repeated() makes of the marks of tasks: their rows, and how many were left open."""
+    marks = [tuple(r.values()) for batches in tasks for b in suffixes._mark(iter(batches)) for r in b.to_pylist()]
+    ends = defaultdict(list)
+    for key, least, most, state in marks:
+        if state == 3:
+            ends[key] += [least, most]
+    whole = {k for k, ids in ends.items() if min(ids) < max(ids)}
+    return sorted(m[:3] for m in marks if m[3] == 1 or m[3] == 2 and m[0] in whole), [m for m in marks if m[3] == 2]
+
+
+def batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["key", "id", "pos"])
+
+
 def test_runs_are_marked_batch_by_batch():
-    """Every cut into batches gives what a look at the whole task gives."""
+    """Every cut into tasks and batches gives each row of a shared key once; a task has all rows of a key and id."""
     rng = random.Random(1)
-    names = ["key", "id", "pos"]
-    for _ in range(1500):
-        n = rng.randint(0, 14)
+    for _ in range(2500):
+        n = rng.randint(0, 16)
         rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(5)) for _ in range(n))
-        batches, at = [], 0
+        tasks, at = [[]], 0
         while at < n or rng.random() < 0.1:
             k = rng.randint(0, 5)
-            batches.append(pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + k]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64()))], names=names))
-            at += k
-        found = sorted(tuple(r.values()) for b in suffixes._mark(iter(batches)) for r in b.to_pylist())
+            if at and at < n and rows[at][:2] != rows[at - 1][:2] and rng.random() < 0.5:
+                tasks.append([])
+            cut = next((i for i in range(at + 1, min(at + k, n)) if rows[i][:2] != rows[i - 1][:2] and rng.random() < 0.3), at + k)
+            tasks[-1].append(batch(rows[at:cut]))
+            at = cut
         ids = defaultdict(set)
         for key, i, _ in rows:
             ids[key].add(i)
-        want = [(*r, 1 if len(ids[r[0]]) > 1 else 2) for r in rows if len(ids[r[0]]) > 1 or r[0] in (rows[0][0], rows[-1][0])]
-        assert found == want
+        assert settle(tasks)[0] == sorted({r for r in rows if len(ids[r[0]]) > 1})
+
+
+def test_a_hot_key_leaves_few_rows_open():
+    """One key of many ids over eight tasks, and many copies of one row."""
+    rows = [(7, i, 3) for i in range(40_000)]
+    tasks = [[batch(rows[a : a + 1000]) for a in range(t, t + 5000, 1000)] for t in range(0, 40_000, 5000)]
+    found, still = settle(tasks)
+    assert found == rows and len(still) == 0
+    copies = [(1, 1, 1)] * 90_000 + [(1, 2, 5)] + [(2, 1, 1)] * 90_000
+    found, still = settle([[batch(copies[a : a + 7000]) for a in range(0, len(copies), 7000)]])
+    assert found == [(1, 1, 1), (1, 2, 5)] and len(still) <= 2
+
+
+def test_a_text_that_all_tasks_bring_in(spark):
+    """Copies of one text in twenty tasks, and a text whose suffixes fill several, beside brute force."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(70))
+    copied = f"start {passage} " + " ".join(f"c{i}" for i in range(90))
+    rows = [(i, copied) for i in range(400)] + [(1000, f"other words {passage} end"), (1001, "same word " * 4000), (1002, " ".join(f"x{i}" for i in range(60))), (1003, "same word " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    want = c.execute(f"SELECT doc_id, n_words, n_repeated, spans, first_doc_id FROM ({suffixes.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, suffixes.report(df).collect())) == sorted(want) and len(want) == 403
+
+
+def test_repeated_rows_of_one_id_over_tasks(spark):
+    """Keys whose rows fill tasks: only those of several ids come out, each row once."""
+    rows = spark.range(60_000).selectExpr("id % 3 AS key", "IF(id % 3 = 0, 5L, id % 7) AS id", "id AS pos")
+    got = suffixes.repeated(rows.union(rows).repartition(16))
+    assert got.count() == got.distinct().count() == 40_000 and got.where("key = 0").count() == 0
+    one = rows.where("key = 0").union(spark.sql("SELECT 0L AS key, 6L AS id, 1L AS pos"))
+    assert suffixes.repeated(one.repartition(8)).count() == 20_001
+    assert suffixes.repeated(rows.limit(0)).count() == 0
