@@ -92,5 +92,18 @@ def small_enough(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (table.agg(F.sum(total.cast("long")).alias("n")).first()["n"] or 0) <= limit
 
 
+def without(df: DataFrame, gone: DataFrame, id_column: str, column: str) -> DataFrame:
+    """The rows of df whose id and text's hash are not among gone (id, hash), a materialised table.
+
+    The columns of gone get names that df cannot have, so df's may have any. Null ids are
+    equal to each other; null texts stay.
+    """
+    own = [f"_{uuid.uuid4().hex}" for _ in range(2)]
+    side = gone.toDF(*own)
+    side = F.broadcast(side) if small_enough(side) else side
+    text = df[f"`{column}`"]
+    return df.join(side, df[f"`{id_column}`"].eqNullSafe(side[own[0]]) & (F.xxhash64(text) == side[own[1]]), "left_anti")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, small_enough
+from .common import materialise, small_enough, without
 
 WINDOW = 5
 COVER = 0.8
@@ -170,9 +170,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no benchmark item; null texts stay."""
-    found = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    found = F.broadcast(found) if small_enough(found) else found
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")) & docs["text"].isNotNull(), "left_anti")
+    found = materialise(leaks(docs, benchmark).select("doc_id", "text_hash").distinct(), "leaks")
+    return without(docs, found, "doc_id", "text")
 
 
 def oracle_sql() -> str:

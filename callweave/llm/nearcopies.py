@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_batches, materialise, small_enough
+from .common import bounded_batches, materialise, small_enough, without
 from .graph import connected_components
 from .suffixes import repeated, window_hashes, word_hashes
 
@@ -239,7 +239,5 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text")
     least = named.groupBy("root").agg(F.min("winner").alias("winner"))
     losing = named.select("text_hash", "root").join(least, "root").select("text_hash", "winner")
     stays = F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("text_hash") == F.col("winner.hash"))
-    gone = rows.select("id", "text_hash").join(losing, "text_hash").where(~stays).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = materialise(gone, "copies")
-    gone = F.broadcast(gone) if small_enough(gone) else gone
-    return df.join(gone, df[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(df[column]) == F.col("_hash")), "left_anti")
+    gone = materialise(rows.select("id", "text_hash").join(losing, "text_hash").where(~stays).select("id", "text_hash").distinct(), "copies")
+    return without(df, gone, id_column, column)

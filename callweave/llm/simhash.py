@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, small_enough
+from .common import bounded_batches, materialise, without
 from .graph import connected_components
 
 #: Distinct fingerprints under a key from which stars replace pairs.
@@ -143,6 +143,4 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", column: str = "text")
     """
     found = _grouped(df, id_column, column)
     stays = F.col(id_column).eqNullSafe(F.col("winner.id")) & (F.col("text_hash") == F.col("winner.hash"))
-    gone = materialise(found.where(~stays).select(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "copies")
-    gone = F.broadcast(gone) if small_enough(gone) else gone
-    return df.join(gone, df[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(df[column]) == F.col("_hash")), "left_anti")
+    return without(df, materialise(found.where(~stays).select(id_column, "text_hash").distinct(), "copies"), id_column, column)

@@ -58,7 +58,8 @@ def test_questions_asked_again_with_other_slots(spark):
 def test_a_window_that_all_items_share(spark):
     """Hot windows are no seeds, and items are found nonetheless; long slot values are whole."""
     line = "How many of the {} are left in the end of {}?"
-    texts = [f"{line.format(f'w{i}', f'v{i}')} z{i} " + " ".join(f"q{i}x{j}" for j in range(9)) for i in range(40)] + ["9" * 70_000 + " a b c d e f"]
+    letter = lambda i: chr(97 + i // 26) + chr(97 + i % 26)  # noqa: E731  words, since w7 is a word and a number
+    texts = [f"{line.format('w' + letter(i), 'v' + letter(i))} z{letter(i)} " + " ".join(f"q{letter(i)}x{letter(j)}" for j in range(9)) for i in range(40)] + ["9" * 70_000 + " a b c d e f"]
     d = docs(spark, [texts[7], texts[33] + " more", line.format("a", "b"), texts[40], texts[40][1:]])
     assert {(r.doc_id, r.item_id) for r in decontam.report(d, items(spark, texts)).collect()} == {(0, 7), (1, 33), (3, 40), (4, 40)}
 
@@ -66,7 +67,7 @@ def test_a_window_that_all_items_share(spark):
 def test_changed_slots_are_counted(spark):
     text = ITEM.replace("Paris", "Rome").replace("60", "45")
     [r] = decontam.report(docs(spark, [text]), items(spark, [ITEM])).collect()
-    assert (r.coverage, r.n_slots, r.n_changed) == (1.0, 6, 2)
+    assert (r.coverage, r.n_slots, r.n_changed) == (1.0, 7, 2)  # paris, bonn, 60, km, hour, 80 and minutes: units are slots wherever they stand
 
 
 def test_short_items_and_odd_tables(spark):

@@ -1,10 +1,13 @@
+import base64
 import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callweave.llm import bpe, decontam, pii
+from callweave.llm import decontam, pii, simhash
 from tests.llm.test_nearcopies import brute_groups
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +21,8 @@ def test_run_equals_the_stages_by_hand(spark):
     kept = [d for d, c in zip(kept, components, strict=True) if d.doc_id == c and d.doc_id not in leaked]
     assert 0 < len(kept) < len(docs)
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        encoding = bpe.TreeCodec(f.read(), P.PATTERN).encoding
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     field, want = pii.default_field(), {}
     for d, (_, spans) in zip(kept, pii.all_spans(field, [d.text for d in kept]), strict=True):
         text = pii.masked(d.text, spans)
@@ -40,3 +44,22 @@ def test_stages_keep_columns_and_stand_nulls(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names that the stages use themselves are no clash, whatever their types."""
+    names = ["_id", "_hash", "h", "key", "root", "fp", "id", "text_hash", "node", "winner", "keys", "item_id", "coverage", "lang_pred", "_words", "at", "n"]
+    rows = [(1, "the cat and the dog went home", "en", "s", 29), (2, "the cat and the dog went home", "en", "s", 29), (None, "and the other", None, None, None), (3, "mail a@b.co and the cat", "en", "s", 23)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i) if i % 2 else F.lit(f"v{i}"))
+    columns = docs.columns
+    plain = simhash.one_of_each(docs)
+    assert plain.columns == columns and plain.count() == 3
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    got = docs.collect()
+    assert {r.text for r in got} == {"the cat and the dog went home", "and the other", "mail <EMAIL> and the cat"} and len(got) == 3
+    assert all(r[name] == (i if i % 2 else f"v{i}") for r in got for i, name in enumerate(names))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 3
