@@ -7,15 +7,18 @@ import hmac
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 from decimal import Decimal
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.verdicts import exportable
+from . import joined
+from .workbook import write_workbook  # noqa: F401  one of the writers
 
 
 def write_transcripts(df: DataFrame, path: str) -> None:
@@ -28,28 +31,6 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
-    """A spreadsheet file with one sheet per table, on the driver; needs openpyxl.
-
-    A sheet has at most `most` rows: a table with more raises an error and belongs into
-    write_sheet().
-    """
-    try:
-        from openpyxl import Workbook
-    except ImportError as e:
-        raise RuntimeError("spreadsheets need openpyxl; write_sheet() gives CSV") from e
-    book = Workbook(write_only=True)
-    for name, df in sheets.items():
-        rows = df.limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"{name} has more than {most} rows")
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        for row in rows:
-            sheet.append(list(row))
-    book.save(path)
-
-
 def write_evaluations(df: DataFrame, path: str) -> None:
     """Evaluations as JSON lines, without what must not leave the engine."""
     exportable(df).write.mode("overwrite").json(path)
@@ -66,6 +47,32 @@ def write_document(df: DataFrame, path: str, model: str, generated: str) -> None
     evaluations.agg(F.lit(generated).alias("generated"), F.lit(model).alias("model"), F.count("*").alias("calls"), cost.alias("cost_usd")).write.mode("overwrite").json(f"{path}/metadata")
 
 
+def write_json_document(df: DataFrame, path: str, model: str, generated: str, order: list[str] | None = None) -> dict:
+    """One JSON file of all evaluations and, after them, their metadata; returns the metadata.
+
+    Tasks write the evaluations, each with the separator after it, and the file system joins
+    the parts in order (sources.joined), so no task and no process holds the document. The
+    numbers of the metadata are observed while the parts are written, not counted again;
+    that is why they come last.
+    """
+    rows = exportable(df)
+    rows = rows.orderBy(*order) if order else rows
+    seen = Observation()
+    cost = F.coalesce(F.sum(F.col("cost_usd").cast("decimal(18,6)")), F.lit(0)).cast("double")
+    lines = rows.observe(seen, F.count(F.lit(1)).alias("calls"), cost.alias("cost_usd"))
+    spark, folder, mark = df.sparkSession, f"{path}.parts-{uuid.uuid4().hex}", ",\n"
+    try:
+        lines.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).write.option("lineSep", mark).text(folder)
+        parts = joined.parts_of(spark, folder)
+        if parts:  # the last evaluation has none after it
+            parts[-1] = (parts[-1][0], parts[-1][1] - len(mark))
+        metadata = {"generated": generated, "model": model, **(seen.get if parts else {"calls": 0, "cost_usd": 0.0})}
+        joined.join(spark, [b'{"evaluations": [\n', *parts, f'\n], "metadata": {json.dumps(metadata, ensure_ascii=False)}}}\n'.encode()], path)
+    finally:
+        joined.delete(spark, folder)
+    return metadata
+
+
 def plain(value: object) -> object:
     """What a value that JSON does not know is written as: paths and times as text, sets
     sorted, numbers of other libraries as numbers, bytes as UTF-8. Others are an error."""

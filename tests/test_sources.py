@@ -107,14 +107,6 @@ def test_two_level_cache_rate(spark):
     assert (r.hits, r.misses, r.hit_rate) == (2, 1, 66.7)
 
 
-def test_workbook_needs_its_library(spark, tmp_path):
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError):
-            writers.write_workbook({"a": spark.range(1)}, str(tmp_path / "a.xlsx"))
-
-
 def test_short_audio(spark):
     df = spark.createDataFrame([(4.9,), (5.0,), (None,)], "s double")
     assert [r[0] for r in df.select(text.stt_status(F.col("s"))).collect()] == ["skipped_short", "pending", "pending"]
