@@ -86,11 +86,11 @@ def export_summary(pivoted: DataFrame, categories: list[str]) -> DataFrame:
     )
 
 
-def criteria_text(criteria: DataFrame) -> DataFrame:
-    """One row, `text`: the criteria (key, category, weight, description, ordinal) as a numbered list."""
+def criteria_text(criteria: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """`text`: the criteria (key, category, weight, description, ordinal) as a numbered list, of all or of each group."""
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "key", "category", "weight", "description")))
 
     def entry(c: Column, i: Column) -> Column:
         return F.concat((i + 1).cast("string"), F.lit(". **"), c["key"], F.lit("** (Category: "), c["category"], F.lit(", Weight: "), c["weight"].cast("string"), F.lit(")\n   "), c["description"], F.lit("\n"))
 
-    return criteria.agg(F.array_join(F.transform(ordered, entry), "\n").alias("text"))
+    return criteria.groupBy(*(by or [])).agg(F.array_join(F.transform(ordered, entry), "\n").alias("text"))

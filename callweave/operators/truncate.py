@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +32,34 @@ def lines_within(costs: Column, budget: int) -> Column:
     return F.aggregate(costs, start, step, lambda s: s["n"])
 
 
-def _middle(gap: Column, budget: int) -> Column:
-    """Indices of the lines of the gap that fit, visited from the middle outwards.
+def middle_out(costs: Sequence[int], budget: int) -> list[int]:
+    """Sorted indices of the lines that fit, visited from the middle outwards.
 
     Round r looks at middle + r, then at middle - r; a line that does not fit is passed
     over. After a round in which the budget was reached no further one begins.
     """
-    n = F.size(gap)
-    mid = F.floor(n / 2).cast("int")
-    visits = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(mid, n - mid - 1)),
-            lambda r: F.filter(
-                F.when(r == 0, F.array(F.struct(r.alias("round"), mid.alias("i")))).otherwise(F.array(F.struct(r.alias("round"), (mid + r).alias("i")), F.struct(r.alias("round"), (mid - r).alias("i")))),
-                lambda v: (v["i"] >= 0) & (v["i"] < n),
-            ),
-        )
-    )
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("round"), F.lit(False).alias("done"), F.array().cast("array<int>").alias("kept"))
+    n = len(costs)
+    middle, spent, kept = n // 2, 0, []
+    for r in range(max(middle, n - middle - 1) + 1 if n else 0):
+        if r and spent >= budget:
+            break
+        for i in (middle + r, middle - r) if r else (middle,):
+            if 0 <= i < n and spent + costs[i] <= budget:
+                spent += costs[i]
+                kept.append(i)
+    return sorted(kept)
+
+
+def _middle(costs: Column, budget: int) -> Column:
+    """middle_out() of an array column. One choice depends on all before it, and a fold in
+    columns would copy what it has kept at each line, hence Arrow; null stays null."""
 
-    def step(s: Column, v: Column) -> Column:
-        done = s["done"] | ((v["round"] > s["round"]) & (s["sum"] >= budget))
-        cost = F.get(gap, v["i"])["cost"]
-        take = ~done & (s["sum"] + cost <= budget)
-        return F.struct(F.when(take, s["sum"] + cost).otherwise(s["sum"]).alias("sum"), v["round"].alias("round"), done.alias("done"), F.when(take, F.array_append(s["kept"], v["i"])).otherwise(s["kept"]).alias("kept"))
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield pd.Series([None if a is None else middle_out(a.tolist(), budget) for a in arrays], dtype=object)
 
-    return F.when(n > 0, F.array_sort(F.aggregate(visits, start, step, lambda s: s["kept"]))).otherwise(F.array().cast("array<int>"))
+    return run(costs)
 
 
 def truncate(df: DataFrame, max_tokens: int, column: str = "transcript") -> DataFrame:
@@ -75,7 +80,7 @@ def truncate(df: DataFrame, max_tokens: int, column: str = "transcript") -> Data
     out = out.withColumn("_total", F.size("_lines")).withColumn("_head", F.when(over, lines_within(costs, first)).otherwise(0)).withColumn("_tail", F.when(over, lines_within(F.reverse(costs), last)).otherwise(0))
     between = F.greatest(F.lit(0), F.col("_total") - F.col("_tail") - F.col("_head"))
     out = out.withColumn("_gap", F.when(over, F.slice("_lines", F.col("_head") + 1, between)))
-    out = out.withColumn("_kept", F.when(over, _let(F.col("_gap"), lambda gap: _middle(gap, middle))))
+    out = out.withColumn("_kept", _middle(F.transform("_gap", lambda x: x["cost"]), middle))
     join = lambda lines: F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
     centre = _let(F.struct(F.col("_gap").alias("gap"), F.col("_kept").alias("kept")), lambda s: F.array_join(F.transform(s["kept"], lambda i: F.get(s["gap"], i)["line"]), "\n"))
     whole = F.concat(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numbers import exact_round_sql as rnd
-from ..operators import cache, calls, report
+from ..operators import cache, calls, report, reuse
 from ..sources import callsource, stores
 from ..sources.readers import PAYLOAD  # noqa: F401  the shape that flatten() takes
 from ..sources.shared import scratch
@@ -132,6 +132,21 @@ def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.hit_rate(cache.lookup(_requests(spark, sf_dir), _cache(spark, sf_dir).select("key")), ["n"])
 
 
+_SIZES = [5, 20, 60, 200, 600]
+
+
+@query(
+    "lru_hits_by_size",
+    f"""WITH a AS (SELECT user_id || ':' || event_type AS key, row_number() OVER (ORDER BY ts, event_id) AS i FROM events), p AS (SELECT i, lag(i) OVER (PARTITION BY key ORDER BY i) AS p FROM a),
+d AS (SELECT x.i, count(y.i) AS distance FROM p x LEFT JOIN p y ON y.i > x.p AND y.i < x.i AND coalesce(y.p, 0) < x.p WHERE x.p IS NOT NULL GROUP BY x.i)
+SELECT size::INT AS size, (SELECT count(*) FROM d WHERE distance < size) AS hits, (SELECT count(*) FROM events) - (SELECT count(*) FROM d WHERE distance < size) AS misses, (SELECT count(*) FROM events) AS lookups FROM (SELECT unnest({_SIZES}) AS size)""",
+)
+def lru_hits_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of caches of several sizes over the log of a user's kinds of events."""
+    log = base.table(spark, sf_dir, "events").withColumn("key", F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type"))
+    return reuse.lru_hits(reuse.distances(log, "key", ["ts", "event_id"]), _SIZES)
+
+
 @query("ttl_filter", f"SELECT key, value, text FROM {_CACHE} WHERE epoch(TIMESTAMP '{_AS_OF}') - epoch(cached_at) <= 30 * 86400 AND text IS NOT NULL")
 def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.live(_cache(spark, sf_dir), F.lit(_AS_OF).cast("timestamp"), cache.STT_TTL_DAYS, ["text"]).drop("cached_at")

@@ -158,9 +158,17 @@ def length_score_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 base.SQL["length_score_corr"] = base.SQL["length_score_corr"].replace("SELECT n, r, r * r AS r2", "SELECT n, round(r, 9) AS r, round(r * r, 9) AS r2", 1)
 
 
-@query("prompt_criteria_text", "SELECT string_agg(ordinal || '. **' || key || '** (Category: ' || category || ', Weight: ' || weight || ')' || chr(10) || '   ' || description || chr(10), chr(10) ORDER BY ordinal) AS text FROM " + CRITERIA_SQL)
+@query(
+    "prompt_criteria_text",
+    """WITH c AS (SELECT p_brand AS brand, p_partkey AS ordinal, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_name AS key, p_type AS category, p_size / 10.0::DOUBLE AS weight, p_type || ' of size ' || p_size AS description FROM part)
+SELECT brand, string_agg(i || '. **' || key || '** (Category: ' || category || ', Weight: ' || weight || ')' || chr(10) || '   ' || description || chr(10), chr(10) ORDER BY ordinal) AS text FROM c GROUP BY brand""",
+)
 def prompt_criteria_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.criteria_text(base.criteria(spark))
+    """A prompt's list of criteria for each brand, whose parts are the criteria."""
+    criteria = base.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("key"), F.col("p_type").alias("category"), (F.col("p_size") / 10).alias("weight"), F.concat("p_type", F.lit(" of size "), F.col("p_size").cast("string")).alias("description"),
+    )
+    return report.criteria_text(criteria, ["brand"])
 
 
 @query("metrics_by_event", "SELECT event_type AS event, count(*) AS n FROM events GROUP BY ALL")

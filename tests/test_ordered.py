@@ -1,6 +1,7 @@
 """Ordered operators against straight simulations of their rules."""
 
 import random
+import time
 from datetime import date
 
 import pytest
@@ -264,3 +265,19 @@ def test_ranges_are_halved():
     assert sum((b - a).days + 1 for a, b in ranges) == 8
     days[date(2024, 1, 3)] = 500
     assert calls.split_range(date(2024, 1, 1), date(2024, 1, 8), count)[1]
+
+
+def test_middle_out_is_linear_and_equals_a_loop():
+    rng = random.Random(3)
+    for _ in range(300):
+        costs, budget = [rng.randrange(0, 9) for _ in range(rng.randrange(0, 30))], rng.randrange(0, 60)
+        spent, kept, mid, r = 0, [], len(costs) // 2, 0
+        while costs and r <= len(costs) and not (r and spent >= budget):
+            for i in [mid] if r == 0 else [mid + r, mid - r]:
+                if 0 <= i < len(costs) and spent + costs[i] <= budget:
+                    spent, kept = spent + costs[i], [*kept, i]
+            r += 1
+        assert truncate.middle_out(costs, budget) == sorted(kept)
+    began = time.perf_counter()
+    assert len(truncate.middle_out([1] * 400_000, 10**9)) == 400_000
+    assert time.perf_counter() - began < 3
