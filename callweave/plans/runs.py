@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import audio, numbers, text
 from ..functions.numbers import exact_round_sql as rnd
 from ..operators import calls, evaluate, report, turns, verdicts
-from ..sources import stores
+from ..sources import readers, stores, writers
+from ..sources.shared import scratch
 from . import base
 from .base import RESULTS_SQL, RUNS_SQL, query
 
@@ -76,6 +77,15 @@ def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "m.format", "m.duration_ms", audio.minutes(F.col("m")).alias("minutes"), text.stt_status(F.col("m.duration_ms") / 1000).alias("status"))
 
 
+@query("log_records", "SELECT doc_id::INT AS line, length(coalesce(text, ''))::INT AS n_chars, sha256(coalesce(text, '')) AS message_sha256, len(string_split(coalesce(text, ''), chr(10)))::INT AS n_lines FROM documents")
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of a run log, of as many lines as they have, written and read again."""
+    at = scratch(spark, "log")
+    head = F.concat(F.lit("2024-05-01 10:00:00 [INFO] corpus ["), F.lit("docs.py:"), F.col("doc_id").cast("string"), F.lit("] "))
+    base.table(spark, sf_dir, "documents").select(F.concat(head, F.coalesce("text", F.lit(""))).alias("value")).write.text(at)
+    return readers.log_records(spark, at).select("line", F.length("message").alias("n_chars"), F.sha2("message", 256).alias("message_sha256"), "n_lines")
+
+
 @query("export_columns", "SELECT doc_id, lang, n_chars FROM documents")
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = {"raw_response": "text", "raw_text": "text", "system_prompt": "source"}
@@ -90,6 +100,22 @@ def clean_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", text.clean(said).alias("cleaned"))
 
 
+@query(
+    "export_document",
+    f"SELECT provider_used, word_count, overall_score, cost_usd, calls, total_cost FROM ({RESULTS_SQL}), (SELECT count(*) AS calls, CAST(sum((o_totalprice / 1e6)::DECIMAL(18,6)) AS DOUBLE) AS total_cost FROM orders)",
+)
+def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results as one JSON document that tasks write in parts; its lines, read again in parallel."""
+    at = scratch(spark, "document") + ".json"
+    rows = base.results(spark, sf_dir).select("provider_used", "word_count", "overall_score", "cost_usd")
+    writers.write_json_document(rows, at, "rule", "2024-05-01")
+    lines = spark.read.text(at)
+    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    each = lines.where(F.col("value").startswith('{"provider_used"')).select(F.from_json(F.rtrim(F.col("value"), F.lit(",")), fields).alias("r")).select("r.*")
+    last = lines.where(F.col("value").startswith('], "metadata"')).select(F.from_json(F.concat(F.lit("{"), F.substring("value", 4, 1000)), "metadata struct<calls:bigint,cost_usd:double>").alias("m")).first()
+    return each.select("*", F.lit(last.m.metadata.calls).alias("calls"), F.lit(last.m.metadata.cost_usd).alias("total_cost"))
+
+
 @query("silence_stub", "SELECT conv_id AS call_id, 0.0::DOUBLE AS silence_pct, 0 AS longest_gap_ms, 0 AS num_gaps, 0 AS n_locations, true AS reconstructed FROM conversations GROUP BY conv_id")
 def silence_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id")).distinct().withColumn("s", turns.no_silence())

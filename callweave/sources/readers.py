@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import megabytes
@@ -20,6 +21,8 @@ CRITERIA = "key string, category string, weight double, applicability string, de
 AUDIO = ["mp3", "wav", "m4a", "flac", "ogg"]
 
 _LOG = r"^(\S+ \S+) \[(\w+)\] (\S+) \[([^\]:]+):(\d+)\] (.*)$"
+#: What a record of the run log begins with.
+_STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\S* \["
 
 
 def call_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +41,32 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("logger"), part(4).alias("file"), part(5).cast("int").alias("line"), F.coalesce(part(6), "value").alias("message"))
 
 
+def log_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the run log of any number of lines: file, place (of the first line), ts, level, logger, source, line, message, n_lines.
+
+    A record begins at a line that begins with a stamp and goes on to the next one. Files
+    are read in splits, each by itself; lines before the first stamp of a split belong to
+    the last record of the splits before, which one row a split finds. Lines before the
+    first stamp of a file are a record without a stamp, which is message alone.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value", F.col("value").rlike(_STAMP).cast("int").alias("begins")
+    )
+    inside = W.partitionBy("file", "split").orderBy("n")
+    lines = lines.withColumn("record", F.sum("begins").over(inside))
+    last = lines.groupBy("file", "split").agg(F.max("record").alias("last")).withColumn("_owner", F.when(F.col("last") > 0, F.struct("split", "last")))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(F.col("file").alias("_file"), F.col("split").alias("_split"), F.last("_owner", True).over(before).alias("_owner"))
+    owned = lines.join(carried, (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")), "left")
+    at = F.when(F.col("record") > 0, F.struct("split", F.col("record").alias("last"))).otherwise(F.col("_owner"))
+    whole = owned.groupBy("file", at.alias("at")).agg(F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    part = lambda i: F.nullif(F.regexp_extract("text", "(?s)" + _LOG, i), F.lit(""))
+    found = whole.select("file", F.struct(F.get("lines", 0)["split"].alias("split"), F.get("lines", 0)["n"].alias("n")).alias("place"), text.alias("text"), F.size("lines").alias("n_lines"))
+    message = F.when(F.col("text").rlike("(?s)" + _LOG), F.regexp_extract("text", "(?s)" + _LOG, 6)).otherwise(F.col("text"))
+    return found.select("file", "place", F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("logger"), part(4).alias("source"), part(5).cast("int").alias("line"), message.alias("message"), "n_lines")
+
+
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """Audio files of a folder, by name: name, path, size, size_mb.
 
