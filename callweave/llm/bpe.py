@@ -23,6 +23,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -36,10 +37,12 @@ from .common import bounded_batches
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1024, 16, 8192
 #: Matches whose tokens a worker remembers, and the length up to which it does.
 REMEMBERED, MEMORABLE = 400_000, 64
+#: Bytes from which on pairs are kept in a heap; below, looking at all of them is quicker.
+HEAPED = 48
 #: Stands for the rank of a pair that has none.
 _NONE = 1 << 40
 
-Node = tuple[list[str], list[tuple[int, ...]]]  # matches and the tokens of each
+Node = tuple[list[str], list[tuple[int, ...] | None]]  # matches and the tokens of each; None for a long one at a rim, which may not be whole
 
 
 class TreeCodec:
@@ -56,7 +59,8 @@ class TreeCodec:
 
     def encode(self, text: str) -> list[int]:
         """Token ids of text, each match of the pattern encoded separately."""
-        return list(chain.from_iterable(self._node(text, 0, len(text))[1]))
+        matches, tokens = self._node(text, 0, len(text))
+        return list(chain.from_iterable(self.tokens(m) if t is None else t for m, t in zip(matches, tokens, strict=True)))
 
     # ------------------------------------------------ the tree over a text
 
@@ -66,13 +70,22 @@ class TreeCodec:
         mid = (lo + hi) // 2
         return self.join_nodes(self._node(text, lo, mid), self._node(text, mid, hi))
 
-    def _leaf(self, text: str) -> Node:
+    def _leaf(self, text: str, first: bool = True, last: bool = True) -> Node:
+        """Matches of a text and their tokens; first and last say whether its rims are a node's.
+
+        A long match at a node's rim goes on in the next node as likely as not, so it is
+        encoded when it is whole, once.
+        """
         found = self.matches(text)
         known = self.remembered
         try:
             return found, [known[m] for m in found]
         except KeyError:
-            return found, [known[m] if m in known else self.tokens(m) for m in found]
+            pass
+        rims = {0} if first else set()
+        if last:
+            rims.add(len(found) - 1)
+        return found, [known[m] if m in known else None if len(m) > MEMORABLE and i in rims else self.tokens(m) for i, m in enumerate(found)]
 
     def join_nodes(self, left: Node, right: Node) -> Node:
         """The node of two neighbouring texts; left is used up."""
@@ -86,7 +99,7 @@ class TreeCodec:
             if (i == 0 or self._parted(a[i - 1], a[i])) and (j == len(b) or self._parted(b[j - 1], b[j])):
                 break
             width *= 2
-        found, tokens = self._leaf("".join(a[i:] + b[:j]))
+        found, tokens = self._leaf("".join(a[i:] + b[:j]), i == 0, j == len(b))
         a[i:], ta[i:] = found, tokens
         a.extend(b[j:])
         ta.extend(tb[j:])
@@ -109,14 +122,21 @@ class TreeCodec:
             self.remembered[match] = out
         return out
 
-    def _bytes(self, piece: bytes) -> list[int]:
+    def _bytes(self, piece: bytes, known: dict[bytes, list[int]] | None = None) -> list[int]:
+        """The encoding of a part of a match. Equal parts of it, as in a ruled line, whose joins
+        never stabilise, are encoded once."""
         if len(piece) <= self.leaf_bytes:
             return self.merged(piece)
-        half = len(piece) // 2
-        return self.join(self._bytes(piece[:half]), self._bytes(piece[half:]))
+        known = {} if known is None else known
+        if piece not in known:
+            half = len(piece) // 2
+            known[piece] = self.join(self._bytes(piece[:half], known), self._bytes(piece[half:], known))
+        return known[piece]
 
     def merged(self, piece: bytes) -> list[int]:
-        """The encoding of a few bytes: the leftmost pair of least rank is merged until none has a rank."""
+        """The encoding of some bytes: the leftmost pair of least rank is merged until none has a rank."""
+        if len(piece) > HEAPED:
+            return self._heaped(piece)
         get, n = self.ranks.get, len(piece)
         parts = [piece[i : i + 1] for i in range(n)]
         pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]  # rank of each part with the next
@@ -130,6 +150,28 @@ class TreeCodec:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
         return [self.ranks[p] for p in parts]
 
+    def _heaped(self, piece: bytes) -> list[int]:
+        """The same for many bytes, in n log n steps: pairs in a heap, parts by their ends."""
+        get, n = self.ranks.get, len(piece)
+        ends, before = list(range(1, n + 1)), list(range(-1, n))  # where a part ends, 0 once it is merged; the part before a place
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:
+                continue  # one of its parts has been merged since
+            ends[i], ends[middle], before[end] = end, 0, i
+            if end < n and (rank := get(piece[i : ends[end]])) is not None:
+                heappush(heap, (rank, i, ends[end]))
+            if i and (rank := get(piece[before[i] : end])) is not None:
+                heappush(heap, (rank, before[i], end))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : ends[i]]])
+            i = ends[i]
+        return out
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of left and right, two neighbouring parts of one match."""
         if not left or not right:
@@ -141,7 +183,7 @@ class TreeCodec:
             window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.fits(left[i - 1], window[0])) and (j == len(right) or self.fits(window[-1], right[j])):
                 return left[:i] + window + right[j:]
-            width *= 2
+            width *= 2 if width < 64 else 8
 
     def _fits(self, a: int, b: int) -> bool:
         return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -96,3 +97,24 @@ def test_columns(spark, library):
     back = bpe.decode_column(bpe.encode_column(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert {r.doc_id: bytes(r.decoded) for r in back} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_long_matches_are_quick_and_equal_the_library(library):
+    r, own = random.Random(3), codec()
+    n = 60_000
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for text in ("-" * n, " " * n, "a" * n, "=" * n, "".join(r.choices(letters, k=n)), "-=" * (n // 2), "abc" * (n // 3), "=-=+" * 5000 + "é" * 3000, "漢" * 20_000, "0" * n):
+        began = time.process_time()
+        ids = own.encode(text)
+        assert time.process_time() - began < 12  # some tenths of this on an idle machine; quadratic merges took a minute
+        assert ids == library.encode_ordinary(text)
+
+
+def test_heap_and_list_give_the_same(monkeypatch):
+    r, own = random.Random(8), codec()
+    for _ in range(400):
+        piece = "".join(r.choices(r.choice(["ab", "the ", "-=", "aeiourstln", "é漢a"]), k=r.randrange(2, 60))).encode()
+        monkeypatch.setattr(bpe, "HEAPED", 0)
+        heaped = own.merged(piece)
+        monkeypatch.setattr(bpe, "HEAPED", 10**9)
+        assert heaped == own.merged(piece)
