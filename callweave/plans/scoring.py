@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import exact_round_sql as rnd
-from ..operators import report, scoring, verdicts
+from ..operators import observed, report, scoring, verdicts
+from ..sources.shared import scratch
 from . import base
 from .base import CATEGORIES, CRITERIA_SQL, LINES_SQL, RESULTS_SQL, VERDICTS_SQL, query
 
@@ -176,6 +177,17 @@ def metrics_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.events_by_kind(base.table(spark, sf_dir, "events").withColumnRenamed("event_type", "event"))
 
 
+_KINDS = ["click", "purchase", "signup", "view"]
+
+
+@query("metrics_observed", f"SELECT CASE WHEN event_type IN ({str(_KINDS)[1:-1]}) THEN event_type END AS event, count(*) AS n FROM events GROUP BY ALL")
+def metrics_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind, observed while they are written; what is not among the kinds is counted together."""
+    rows, seen = observed.observed(base.table(spark, sf_dir, "events").withColumnRenamed("event_type", "event"), _KINDS)
+    rows.write.parquet(scratch(spark, "events"))
+    return observed.totals(spark, seen, _KINDS)
+
+
 @query(
     "export_summary",
     f"{_SCORED}, {_CATEGORIES}, w AS (SELECT scores.*, "
