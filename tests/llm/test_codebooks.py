@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,11 @@ def test_unused_entries_stay():
     counts[:, 1] = 2
     out = codebooks.moved(books, sums, counts)
     assert (out[:, :, 1] == -4).all() and (out[:, :, ::2] == books[:, :, ::2]).all()
+
+
+def test_equals_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = codebooks.compress(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({codebooks.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,11 @@ def test_other_units(spark):
 def test_no_python_and_no_shuffle(spark):
     plan = infill.report(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_equals_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = infill.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({infill.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
