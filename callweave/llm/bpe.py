@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, kept
 
 #: Characters of a leaf of the tree over a text; bytes of a leaf inside a match; token ids of a leaf in decoding.
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1024, 16, 8192
@@ -198,15 +198,9 @@ class TreeCodec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_CODECS: dict[tuple[str, str], TreeCodec] = {}
-
-
 def codec(rank_file: bytes, pattern: str) -> TreeCodec:
-    """One codec for each rank file and Python worker."""
-    key = (hashlib.sha256(rank_file).hexdigest(), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = TreeCodec(rank_file, pattern)
-    return _CODECS[key]
+    """One codec for each rank file and Python worker, until the worker does something else."""
+    return kept(("codec", hashlib.sha256(rank_file).hexdigest(), pattern), lambda: TreeCodec(rank_file, pattern))
 
 
 def _mapped(df: DataFrame, column: str, path: str, pattern: str, fields: str, make) -> DataFrame:
@@ -214,15 +208,15 @@ def _mapped(df: DataFrame, column: str, path: str, pattern: str, fields: str, ma
     bounded_batches(df.sparkSession)
     with open(path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in df.columns if c not in {x.split()[0] for x in fields.split(", ")}]
-    df = df.select(*[df[f"`{c}`"] for c in kept])
-    at = kept.index(column)
+    names = [c for c in df.columns if c not in {x.split()[0] for x in fields.split(", ")}]
+    df = df.select(*[df[f"`{c}`"] for c in names])
+    at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for batch in batches:
             made = make(own, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*kept, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*names, *made])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{ddl}, {fields}")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise
+from .common import bounded_batches, discard, let_go, materialise
 
 #: The classifier is fitted on about so many labelled rows, drawn by hash from all of them;
 #: every word and n-gram of these that occurs often enough is kept.
@@ -154,6 +154,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Times of each word (n = 0) and n-gram of each language in a partition."""
+    let_go()
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -183,6 +184,7 @@ def predict(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     at = kept.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(sent.value)
         for batch in batches:
             made = [scorer.predict(t) for t in batch.column(at).to_pylist()]

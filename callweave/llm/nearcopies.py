@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_batches, materialise, small_enough, without
+from .common import bounded_batches, let_go, materialise, small_enough, without
 from .graph import connected_components
 from .suffixes import repeated, window_hashes, word_hashes
 
@@ -89,6 +89,7 @@ def signatures(df: DataFrame, id_column: str, column: str) -> DataFrame:
     rows = df.select(F.col(id_column).alias("id"), F.xxhash64(column).alias("text_hash"), F.col(column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         met: set[int] = set()
         for batch in batches:
             prints, sizes, keys = [], [], []
