@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callweave.llm import nearcopies
+from callweave.llm.common import materialise, run_dir
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -125,3 +128,60 @@ def test_large_blocks_are_settled(spark):
     either = links.union(links.select("b", "a"))
     roots = nearcopies.settled(shared, none, lambda pairs: pairs.join(either, ["a", "b"]))
     assert {(r.root, r.node) for r in roots.collect() if r.root != r.node} == alike
+
+
+def test_an_original_links_its_copies_at_once(spark, monkeypatch):
+    """Copies that are alike to their original but not to each other: pairs grow with the texts, not with their square."""
+    rng, base = random.Random(4), [f"b{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        words = list(base)
+        for at in rng.sample(range(0, 295, 5), 6):
+            words[at] = f"n{rng.randrange(10**7)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[0], s) for s in sets) and not any(alike(sets[i], sets[j]) for i in range(1, 40) for j in range(1, i))
+    counted, verified = [], nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, sets: counted.append(pairs.count()) or verified(pairs, sets))
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in nearcopies.one_of_each(df).collect()] == [850]
+    assert sum(counted) <= 2 * len(texts)
+
+
+def test_near_never_rules_out_near_copies():
+    """Differing bits are at most differing shingles, over sets of all sizes and both foldings."""
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.choice([1, 2, 5, 31, 32, 33, 63, 64, 65, 128, 129, 500])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n - rng.randint(0, n // 9))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 9))}
+        x, y = (nearcopies.parities(np.array(sorted(s), np.uint64)).view(np.uint64) for s in (a, b))
+        small = min(len(x), len(y))
+        x, y = (v[:small] ^ v[small:] if len(v) > small else v for v in (x, y))
+        assert sum(int(d).bit_count() for d in x ^ y) <= len(a ^ b)
+
+
+def test_near_folds_the_longer_one(spark):
+    a, other = set(range(64 * 5, 64 * 5 + 1000, 31)), {5}
+    b = set(sorted(a)[:31])
+    rows = [(len(s), len(t), *(nearcopies.parities(np.array(sorted(v), np.uint64)).tolist() for v in (s, t))) for s, t in ((a, b), (b, a), (a, a), (set(sorted(a)[:20]), b), (other, {6}))]
+    df = spark.createDataFrame(rows, "n int, m int, x array<long>, y array<long>")
+    assert len(rows[0][2]) == 2 * len(rows[0][3])
+    assert [r.near for r in df.select(nearcopies.near(*map(F.col, "nmxy")).alias("near")).collect()] == [True, True, True, False, False]
+
+
+def test_only_what_goes_is_left_in_the_shared_folder(spark):
+    path = Path(run_dir(spark).removeprefix("file://"))
+    before = set(path.iterdir()) if path.exists() else set()
+    df = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(60)], "doc_id long, text string")
+    out = nearcopies.one_of_each(df)
+    assert [p.name.split("-")[0] for p in set(path.iterdir()) - before] == ["copies"]
+    assert out.count() == 30
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    found = lambda: sum(len(list(Path(d.toString()).rglob("shuffle_*"))) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    before = found()
+    materialise(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    assert found() <= before
