@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,16 @@ _NONE = 1 << 40
 Node = tuple[list[str], list[tuple[int, ...] | None]]  # matches and the tokens of each; None for a long one at a rim, which may not be whole
 
 
+class Remembered(dict):
+    """Tokens by match; those of a match that is not there are made as it is looked up."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        self.make = make
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        return self.make(match)
+
+
 class TreeCodec:
     """Encoder and decoder for one rank file and one pattern, whose matches cover any text."""
 
@@ -54,13 +64,16 @@ class TreeCodec:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.leaf_chars, self.leaf_bytes = leaf_chars, leaf_bytes
         self.fits = lru_cache(1 << 16)(self._fits)
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.remembered = Remembered(self.tokens)
+        self.pair_ranks = [self.ranks.get(bytes(divmod(i, 256)), _NONE) for i in range(1 << 16)]
         self.joins = {"matches": 0, "tokens": 0}  # joins made so far, for tests and figures
 
     def encode(self, text: str) -> list[int]:
         """Token ids of text, each match of the pattern encoded separately."""
         matches, tokens = self._node(text, 0, len(text))
-        return list(chain.from_iterable(self.tokens(m) if t is None else t for m, t in zip(matches, tokens, strict=True)))
+        if None in tokens:
+            tokens = [self.tokens(m) if t is None else t for m, t in zip(matches, tokens, strict=True)]
+        return list(chain.from_iterable(tokens))
 
     # ------------------------------------------------ the tree over a text
 
@@ -77,15 +90,13 @@ class TreeCodec:
         encoded when it is whole, once.
         """
         found = self.matches(text)
-        known = self.remembered
-        try:
-            return found, [known[m] for m in found]
-        except KeyError:
-            pass
-        rims = {0} if first else set()
-        if last:
-            rims.add(len(found) - 1)
-        return found, [known[m] if m in known else None if len(m) > MEMORABLE and i in rims else self.tokens(m) for i, m in enumerate(found)]
+        if not found:
+            return found, []
+        head, tail = first and len(found[0]) > MEMORABLE, last and len(found[-1]) > MEMORABLE
+        if not head and not tail:
+            return found, list(map(self.remembered.__getitem__, found))
+        lo, hi = int(head), max(int(head), len(found) - tail)
+        return found, [None] * lo + list(map(self.remembered.__getitem__, found[lo:hi])) + [None] * (len(found) - hi)
 
     def join_nodes(self, left: Node, right: Node) -> Node:
         """The node of two neighbouring texts; left is used up."""
@@ -137,18 +148,17 @@ class TreeCodec:
         """The encoding of some bytes: the leftmost pair of least rank is merged until none has a rank."""
         if len(piece) > HEAPED:
             return self._heaped(piece)
-        get, n = self.ranks.get, len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
-        pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]  # rank of each part with the next
+        get, ranks = self.ranks.get, self.pair_ranks
+        starts = list(range(len(piece) + 1))  # where each part starts, and the end
+        pairs = [ranks[a << 8 | b] for a, b in pairwise(piece)]  # rank of each part with the next
         while pairs and (least := min(pairs)) != _NONE:
             i = pairs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
+            del pairs[i], starts[i + 1]
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+                pairs[i] = get(piece[starts[i] : starts[i + 2]], _NONE)
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
-        return [self.ranks[p] for p in parts]
+                pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], _NONE)
+        return [self.ranks[piece[a:b]] for a, b in pairwise(starts)]
 
     def _heaped(self, piece: bytes) -> list[int]:
         """The same for many bytes, in n log n steps: pairs in a heap, parts by their ends."""
@@ -256,7 +266,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, column: str = "text") ->
         rows = []
         for v in values:
             ids = own.encode(v or "")
-            rows.append((len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+            rows.append((len(ids), hashlib.sha256(np.fromiter(ids, "<u4", len(ids))).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
         n, ids, decoded = zip(*rows) if rows else ((), (), ())
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 

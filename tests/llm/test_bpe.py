@@ -118,3 +118,30 @@ def test_heap_and_list_give_the_same(monkeypatch):
         heaped = own.merged(piece)
         monkeypatch.setattr(bpe, "HEAPED", 10**9)
         assert heaped == own.merged(piece)
+
+
+def test_a_new_match_does_not_make_its_leaf_be_looked_up_again(library):
+    own, hashed = codec(), []
+
+    class Word(str):
+        def __hash__(self):
+            hashed.append(str(self))
+            return str.__hash__(self)
+
+    text = "the cat sat on the mat with qzxvunseen"
+    own.encode("the cat sat on the mat with")
+    find = own.matches
+    own.matches = lambda text: [Word(m) for m in find(text)]
+    assert own.encode(text) == library.encode_ordinary(text)
+    assert [hashed.count(m) for m in ("the", " cat", " sat", " on", " the", " mat", " with")] == [1] * 7
+
+
+def test_long_matches_at_the_rims_of_leaves(small, library):
+    for text in ("x" * 70, "x" * 70 + " " + "y" * 80, "-" * 65 + "a" + "=" * 65, "a" + " " * 90, "é" * 200 + "\n" * 100 + "漢" * 70):
+        for first in (False, True):
+            for last in (False, True):
+                found, tokens = small._leaf(text, first, last)
+                assert "".join(found) == text and len(tokens) == len(found)
+                rims = ({0} if first else set()) | ({len(found) - 1} if last else set())
+                assert [t is None for t in tokens] == [i in rims and len(m) > bpe.MEMORABLE for i, m in enumerate(found)]
+        assert small.encode(text) == library.encode_ordinary(text)
